@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import written
 from quire.sources.tables import table
 
 from .cooccurrence import cooccurrence
 from .frequency import term_frequency
+from .language import label_errors, languages, train
+from .lookalike import canonical, lookalikes
+from .packing import pack
+from .pages import page_kinds
 from .terms import normal_terms
 
 
@@ -31,6 +36,30 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "blocks").select(F.lit("blocks.text").alias("field"), F.col("block_id").alias("id"), "text")
+    titles = table(spark, d, "extracted_metadata").select(F.lit("extracted_metadata.title").alias("field"), F.col("meta_id").alias("id"), F.col("title").alias("text"))
+    return lookalikes(blocks.union(titles), "field", "id", "text")
+
+
+def p3_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Every title in its one form."""
+    return canonical(table(spark, d, "extracted_metadata", "meta_id", "title"), "title")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text", "language")
+    model = train(docs, "doc_id", "text", "language")
+    found = written(languages(docs, "doc_id", "text", model), "languages")
+    return label_errors(found, docs, table(spark, d, "language_results"))
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document and segment with its language and confidence."""
+    docs = table(spark, d, "documents", "doc_id", "text", "language")
+    return languages(docs, "doc_id", "text", train(docs, "doc_id", "text", "language"))
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "keywords", "subjects")
     return term_frequency(docs, {"keywords": normal_terms(docs.keywords), "subjects": normal_terms(docs.subjects)})
@@ -45,8 +74,16 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_kinds(table(spark, d, "documents"), "doc_id", "text").filter("spam").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p5_found, p5_terms)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p8_packed, p10_found)}
 
 
 _TERM = "trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))"
