@@ -13,9 +13,11 @@ from quire.sources.tables import table
 from .cooccurrence import cooccurrence
 from .frequency import term_frequency
 from .language import label_errors, languages, train
+from .leaks import leaks
 from .lookalike import canonical, lookalikes
 from .packing import pack
 from .pages import page_kinds
+from .scans import Scans, sources
 from .terms import normal_terms
 
 
@@ -74,16 +76,46 @@ def p5_terms(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
+def _scans(spark: SparkSession, d: str) -> Scans:
+    form = F.trim(F.regexp_replace(F.lower("form"), r"[^\p{L}\p{M}]+", " ")).alias("form")
+    meta = table(spark, d, "extracted_metadata", "document_id", "title", "authors")
+    titles = meta.select("document_id", F.col("title").alias("form")).union(meta.select("document_id", F.explode("authors")))
+    texts = sources(table(spark, d, "blocks"), table(spark, d, "text_segments"))
+    return Scans(texts, titles.select("document_id", form).filter("form is not null").distinct())
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).noise()
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every text as a readable paragraph."""
+    return _scans(spark, d).repaired()
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), "doc_id", "text", "source")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("item_id", "doc_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with the words found in a row and the words that differ."""
+    return _leaks(spark, d)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return page_kinds(table(spark, d, "documents"), "doc_id", "text").filter("spam").select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p8_packed, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p6_found, p6_repaired, p8_packed, p9_found, p9_leaks, p10_found)}
 
 
 _TERM = "trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))"
