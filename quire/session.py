@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +64,22 @@ def written(df: DataFrame, label: str = "stage", partition_by: list[str] | None
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's workers, once, so that they can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_quire_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quire-")
+    path = os.path.join(folder, "quire-package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for base, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
+    atexit.register(shutil.rmtree, folder, True)
+    context._quire_shipped = True
