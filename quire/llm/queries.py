@@ -15,6 +15,7 @@ from .frequency import term_frequency
 from .language import label_errors, languages, train
 from .leaks import leaks
 from .lookalike import canonical, lookalikes
+from .names import variant_pairs, variants
 from .packing import pack
 from .pages import page_kinds
 from .scans import Scans, sources
@@ -93,6 +94,20 @@ def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     return _scans(spark, d).repaired()
 
 
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "extracted_metadata", "authors").union(table(spark, d, "reference_entries", "authors"))
+    return written(variants(lists.select(F.explode("authors").alias("name")), "name"), "entities")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(_entities(spark, d))
+
+
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every name with the entity it names."""
+    return _entities(spark, d)
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -115,7 +130,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p6_found, p6_repaired, p8_packed, p9_found, p9_leaks, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_entities, p8_packed, p9_found, p9_leaks, p10_found)}
 
 
 _TERM = "trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))"
