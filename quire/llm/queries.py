@@ -15,6 +15,7 @@ from .frequency import term_frequency
 from .language import label_errors, languages, train
 from .leaks import leaks
 from .lookalike import canonical, lookalikes
+from .matching import CONFIDENT, links
 from .names import variant_pairs, variants
 from .packing import pack
 from .pages import page_kinds
@@ -22,6 +23,15 @@ from .scans import Scans, sources
 from .terms import normal_terms
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference with the record it most likely cites, and the confidence."""
+    return links(table(spark, d, "reference_entries"), table(spark, d, "works"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_links(spark, d).filter(F.col("confidence") >= CONFIDENT).select("work_id", "ref_id")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "keywords")
     return cooccurrence(docs, "doc_id", normal_terms(docs.keywords), min_count=5, min_lift=6.0)
@@ -130,7 +140,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_entities, p8_packed, p9_found, p9_leaks, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_entities, p8_packed, p9_found, p9_leaks, p10_found)}
 
 
 _TERM = "trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))"
