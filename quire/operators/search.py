@@ -17,6 +17,10 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.explode("w").alias("term"), F.size("w").alias("length")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def _count(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term))
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The `k` best documents that hold every term of `query`, with their BM25 score; ties go to the smaller key.
 
@@ -24,7 +28,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k: int, k1: flo
     """
     terms = sorted({t.lower() for t in query})
     words = docs.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    found = words.select(key, F.size("w").alias("length"), *(F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    found = words.select(key, F.size("w").alias("length"), *(_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = found.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hits = found.filter(" AND ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

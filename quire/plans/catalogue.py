@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search
+from . import search, text
 
 #: Modules that hold queries; each has QUERIES and ORACLE.
-MODULES = (search,)
+MODULES = (text, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

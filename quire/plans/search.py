@@ -12,7 +12,7 @@ QUERIES = {"bm25_search": lambda spark, d: bm25(table(spark, d, "documents"), "d
 ORACLE = {
     "bm25_search": """
         with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents),
-        f as (select doc_id, len(w) as length, len(list_filter(w, x -> x = 'the')) as a, len(list_filter(w, x -> x = 'timber')) as b, len(list_filter(w, x -> x = 'record')) as c from w),
+        f as (select doc_id, len(w) as length, len(list_filter(w, lambda x: x = 'the')) as a, len(list_filter(w, lambda x: x = 'timber')) as b, len(list_filter(w, lambda x: x = 'record')) as c from w),
         s as (select count(*) as n, avg(length) as mean, count_if(a > 0) as da, count_if(b > 0) as db, count_if(c > 0) as dc from f)
         select doc_id, round(
             ln(1 + (n - dc + 0.5) / (dc + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length / mean))
