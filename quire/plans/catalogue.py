@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import search, text
+from . import catalog, search, text
 
 #: Modules that hold queries; each has QUERIES and ORACLE.
-MODULES = (text, search)
+MODULES = (text, catalog, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
