@@ -26,7 +26,7 @@ def page_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_regions(spark: SparkSession, d: str) -> DataFrame:
-    return L.region(L.region(_blocks(spark, d), L.PAGE).filter("x0 is not null").drop("n"), ["document_id"], digits=2)
+    return L.region(L.region(_blocks(spark, d), L.PAGE, digits=9).filter("x0 is not null").drop("n"), ["document_id"], digits=6)
 
 
 def margins(spark: SparkSession, d: str) -> DataFrame:
@@ -118,7 +118,7 @@ def _region(name: str, frm: str, keys: str, digits: int = 4) -> str:
     return f"{name}_raw as (select {keys}, {q}, count(*) as n from {frm} group by {keys}), {name} as (select {keys}, {box}, n from {name}_raw)"
 
 
-_REGIONS = f"with {_B}, {_region('pages', 'b', 'document_id, page_index')}, usable as (select document_id, x0, y0, x1, y1 from pages where x0 is not null), {_region('docs', 'usable', 'document_id', 2)}"
+_REGIONS = f"with {_B}, {_region('pages', 'b', 'document_id, page_index')}, {_region('fine', 'b', 'document_id, page_index', 9)}, usable as (select document_id, x0, y0, x1, y1 from fine where x0 is not null), {_region('docs', 'usable', 'document_id', 6)}"
 
 
 def _islands(name: str, frm: str, keys: str, start: str, end: str, gap: str) -> str:
