@@ -10,6 +10,7 @@ What is visible stays: case, accents, digits, line breaks, superscripts, one ASC
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ LETTERS = {
 HYPHENS = "‐‑⁃˗−﹣－"
 #: Compatibility mappings that keep the look. Superscripts, fractions, circled and squared characters change it.
 KEPT_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>"}
+JAMO = re.compile("[\u1100-\u11ff]")
 SOFT_HYPHEN, LONG_S, LAST = 0x00AD, 0x017F, 0x110000
 BREAKS = (0x0A, 0x0D, 0x0B, 0x0C, 0x85, 0x2028, 0x2029)
 
@@ -129,7 +131,7 @@ def same_look(texts: list[str]) -> list[str]:
     out: list[str] = []
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     for start, stop in slices(lengths):
-        part = [unicodedata.normalize("NFC", x) if any("ᄀ" <= c <= "ᇿ" for c in x) else x for x in texts[start:stop]]
+        part = [unicodedata.normalize("NFC", x) if JAMO.search(x) else x for x in texts[start:stop]]
         codes, begins = code_points(part)
         rows = np.repeat(np.arange(len(part)), np.diff(begins))
         # At the end of a line a soft hyphen is seen, elsewhere not.
