@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, layout, search, text
+from . import catalog, graph, layout, search, text
 
 #: Modules that hold queries; each has QUERIES and ORACLE.
-MODULES = (text, catalog, layout, search)
+MODULES = (text, catalog, layout, search, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
