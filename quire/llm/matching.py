@@ -1,9 +1,9 @@
 """References linked to the records of another source that has no key in common with them.
 
-Method: the character pairs of a record's attributes are set as bits of a vector of fixed length. Two titles within RADIUS bits
-of each other agree in at least one of the RADIUS + 1 words of their vectors, so that joining on each word in turn and counting
-the differing bits finds all close pairs exactly; a second index over title, first author and year together allows more
-differences. The pairs' Dice scores by attribute are weighted, which ranks the candidates of a reference, and turned into confidences by
+Method: the character pairs of a record's attributes are set as bits of a vector of fixed length. Two titles that differ
+in fewer bits than their vectors have words agree in at least one of the words, so that joining on each word in turn and counting
+the differing bits finds all close pairs exactly; for references without any, a second index over title, first author and year
+together allows more differences. The pairs' Dice scores by attribute are weighted, which ranks the candidates of a reference, and turned into confidences by
 fitting their levels of agreement as a mixture of matches and others.
 
 A printed reference is first taken apart into the strings that may be its title, since the parsed title may be missing or
@@ -27,7 +27,7 @@ from .lookalike import same_look
 from .names import SMALL, TITLES, plain
 
 #: 64-bit words of the title's vector, and of the vector of title, author and year; the radius of each is its words less one.
-TITLE_WORDS, RECORD_WORDS, AUTHOR_WORDS = 8, 16, 4
+TITLE_WORDS, RECORD_WORDS, AUTHOR_WORDS = 8, 12, 4
 #: Weights of title, authors and year; the least confidence of a link.
 WEIGHTS, CONFIDENT = (0.6, 0.25, 0.15), 0.5
 #: Least title score of a pair that is looked at.
@@ -43,7 +43,11 @@ _NUMBERS = {w: str(i + 1) for i, w in enumerate(_ROMAN.split("|"))}
 
 def folded(texts: list[str | None]) -> list[str]:
     """Texts in lower case, without accents and punctuation."""
-    return [" ".join(re.findall(r"[^\W_]+", plain(t))) for t in same_look([t or "" for t in texts])]
+    return list(map(_fold, same_look([t or "" for t in texts])))
+
+
+def _fold(text: str) -> str:
+    return " ".join(re.findall(r"[^\W_]+", plain(text)))
 
 
 def marks(text: str) -> str:
@@ -54,27 +58,28 @@ def marks(text: str) -> str:
 
 
 def title_candidates(raw: str, title: str | None) -> list[str]:
-    """The strings that may be the title of a printed reference."""
+    """The strings that may be the title of a printed reference: the parsed title, and what stands where the reference's style has the title."""
     out = [title] if title else []
     raw = re.sub(r"^\s*(?:\[\d+\]|\(\d+\)|\d+\.)\s*", "", raw.replace("\n", " ").replace("\r", " ")).strip()
-    out += re.findall(r"[\"“„«»”]\s*([^\"“”„«»]{8,}?)[,.]?\s*[\"”“«»]", raw)
+    if quoted := re.findall(r"[\"“„«»”]\s*([^\"“”„«»]{8,}?)[,.]?\s*[\"”“«»]", raw):
+        return out + quoted[:2]
     if " / " in raw:
-        out.append(raw.split(" / ")[0])
+        return [*out, raw.split(" / ")[0]]
     if m := re.search(r"\(\D{0,4}\d{4}\w?\)[.,:]?\s+(.+)", raw):
-        tail = m.group(1)
-        cuts = [x.start() for x in re.finditer(r"[.?!]\s", tail)]
-        out += [tail[:c] for c in cuts[:3]] or [tail]
-    if m := re.search(r"^[^:]{3,}?:\s+(.+?)(?:[.,]\s+In:?\s|\.\s|$)", raw):
-        out.append(m.group(1))
-    segments = [s for s in re.split(r"\.\s+", raw) if len(s) >= 8]
-    out += segments
+        if "In:" not in raw[: m.start()]:
+            tail = m.group(1)
+            cuts = [x.start() for x in re.finditer(r"[.?!]\s", tail)]
+            return out + ([tail[:c] for c in cuts[:2]] or [tail])
+    if m := re.search(r"^[^:]{3,}?:\s+(.+?)[.,]\s+In:?\s", raw):
+        parts = re.split(r":\s+", m.group(0))
+        # An organisation may be written with a colon of its own.
+        return out + [m.group(1)] + ([": ".join(parts[2:]).rsplit("In", 1)[0]] if len(parts) > 2 else [])
+    segments = [s for s in re.split(r"\.\s+", raw) if len(s) >= 12 and len(s.split()) >= 3]
+    if len(re.split(r"\.\s+", raw)) > 2:
+        return out + segments[:4]
     # Names, title, place and year, parted by commas: the title begins after one of the first commas.
-    body = re.sub(r",\s*[^,]*\b\d{4}\w?\.?\s*$", "", raw)
-    pieces = re.split(r"[,;]\s+", body)
-    out += [", ".join(pieces[k:]) for k in range(1, min(len(pieces), 8))]
-    if not out:
-        out.append(raw)
-    return out
+    pieces = re.split(r"[,;]\s+", re.sub(r",\s*[^,]*$", "", raw))
+    return out + [", ".join(pieces[k:]) for k in range(1, min(len(pieces), 9))] or [raw]
 
 
 def surname(name: str) -> str:
@@ -129,14 +134,14 @@ def close_pairs(left: DataFrame, right: DataFrame, words: int) -> DataFrame:
 
 
 def _vectors(df: DataFrame, words: int) -> DataFrame:
-    """(key, v) of the distinct rows (key, title, name, year) of `df`."""
+    """(key, v) of the distinct rows (key, title, name, year) of `df`; the key is a hash."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         titles, names, years = (batch.column(i).to_pylist() for i in (1, 2, 3))
         v = bits(titles, TITLE_WORDS, 0) if words == TITLE_WORDS else _record_bits(titles, names, years)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(0, v.size + 1, words, dtype=np.int32), pa.array(v.ravel()))], ["key", "v"])
 
-    return map_arrow(df.select("key", "title", "name", "year"), "key string, v array<long>", work)
+    return map_arrow(df.select("key", "title", "name", "year"), "key long, v array<long>", work)
 
 
 READ = "id long, title string, name string, year string, years array<string>, authors array<string>, marks string"
@@ -145,14 +150,14 @@ READ = "id long, title string, name string, year string, years array<string>, au
 def _references(df: DataFrame) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, raws, titles, years, authors = (batch.column(i).to_pylist() for i in range(5))
+        raws, titles = same_look([r or "" for r in raws]), same_look([t or "" for t in titles])
         out = []
         for k, raw, title, year, names in zip(ids, raws, titles, years, authors, strict=True):
-            raw = raw or ""
             found = YEAR.findall(year or "") or YEAR.findall(raw)
             named = [n for n in names or [] if n and not re.match(r"(?i)^\W*(?:et al|u\.? ?a)\b", n) and surname(n)]
             people = [_long(n) for n in named]
-            given = [t for t in dict.fromkeys(folded(title_candidates(raw, title))) if len(t) >= 8]
-            whole = folded([raw])[0]
+            given = [t for t in dict.fromkeys(map(_fold, title_candidates(raw, title))) if len(t) >= 8]
+            whole = _fold(raw)
             first = surname(named[0]) if named else surname(re.split(r"[;&]|\band\b|\bund\b|,\s+(?=\S+\s+\S)|[.:(\"/]\s", re.sub(r"^\s*(?:\[\d+\]|\d+\.)\s*", "", raw))[0])
             mark = marks(whole)
             out += [(k, t, first, found[0] if found else "", sorted(set(found)), people, mark) for t in given]
@@ -244,15 +249,17 @@ def links(references: DataFrame, works: DataFrame) -> DataFrame:
     """
     refs = written(_references(references.select("ref_id", "raw", "title", "year", "authors").dropDuplicates(["ref_id"])), "references")
     own = written(_works(works.select("work_id", "title", F.col("year").cast("string"), "authors").dropDuplicates(["work_id"])), "works")
-    titles = lambda df: df.select(F.col("title").alias("key"), "title", F.lit("").alias("name"), F.lit("").alias("year")).distinct()
-    record_key = F.concat_ws("|", "title", "name", "year")
+    titles = lambda df: df.select(F.xxhash64("title").alias("key"), "title", F.lit("").alias("name"), F.lit("").alias("year")).distinct()
+    record_key = F.xxhash64("title", "name", "year")
     records = lambda df: df.filter("name <> '' or year <> ''").select(record_key.alias("key"), "title", "name", "year").distinct()
     by_title = close_pairs(_vectors(titles(refs), TITLE_WORDS), _vectors(titles(own), TITLE_WORDS), TITLE_WORDS)
-    by_record = close_pairs(_vectors(records(refs), RECORD_WORDS), _vectors(records(own), RECORD_WORDS), RECORD_WORDS)
-    left = refs.select(F.col("id").alias("ref_id"), F.col("title").alias("lt"), record_key.alias("lk"), F.col("authors").alias("la"), F.col("years").alias("ly"), F.col("marks").alias("lm"))
-    right = own.select(F.col("id").alias("work_id"), F.col("title").alias("rt"), record_key.alias("rk"), F.col("authors").alias("ra"), F.col("years").alias("ry"), F.col("marks").alias("rm"))
+    left = refs.select(F.col("id").alias("ref_id"), F.col("title").alias("lt"), F.xxhash64("title").alias("lh"), record_key.alias("lk"), F.col("authors").alias("la"), F.col("years").alias("ly"), F.col("marks").alias("lm"))
+    right = own.select(F.col("id").alias("work_id"), F.col("title").alias("rt"), F.xxhash64("title").alias("rh"), record_key.alias("rk"), F.col("authors").alias("ra"), F.col("years").alias("ry"), F.col("marks").alias("rm"))
     columns = ["ref_id", "work_id", "lt", "rt", "la", "ra", "ly", "ry", "lm", "rm"]
-    found = left.join(by_title, left.lt == by_title.l).join(right, right.rt == by_title.r).select(*columns)
+    found = written(left.join(by_title, left.lh == by_title.l).join(right, right.rh == by_title.r).select(*columns), "found")
+    # The index of whole records is for the references that their titles alone bring to no record.
+    rest = refs.join(found.select(F.col("ref_id").alias("id")).distinct(), "id", "left_anti")
+    by_record = close_pairs(_vectors(records(rest), RECORD_WORDS), _vectors(records(own), RECORD_WORDS), RECORD_WORDS)
     more = left.join(by_record, left.lk == by_record.l).join(right, right.rk == by_record.r).select(*columns)
     pairs = found.union(more).filter("lm = rm").drop("lm", "rm").distinct()
     level = lambda f: F.coalesce(*(F.when(F.col(f) >= x, F.lit(i)) for i, x in enumerate(LEVELS[f])))

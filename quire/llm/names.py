@@ -60,6 +60,8 @@ def _nicknames() -> dict[str, frozenset[str]]:
 
 def plain(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFD", text.lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l").replace("œ", "oe"))
     return "".join(c for c in text if not unicodedata.combining(c))
 

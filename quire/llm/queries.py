@@ -145,12 +145,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _TERM = "trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))"
 
-_BASKETS = f"""with baskets as (select doc_id, unnest(list_distinct(list_filter(list_transform(keywords, x -> {_TERM}), x -> x <> ''))) as t from documents),
+_BASKETS = f"""with baskets as (select doc_id, unnest(list_distinct(list_filter(list_transform(keywords, lambda x: {_TERM}), lambda x: x <> ''))) as t from documents),
     size as (select t, count(*) as n from baskets group by t), total as (select count(distinct doc_id) as n from baskets),
     pairs as (select a.t as keyword_a, b.t as keyword_b, count(*) as n_ab from baskets a join baskets b on a.doc_id = b.doc_id and a.t < b.t group by all)"""
 
-_COUNTS = f"""with e as (select 'keywords' as field, doc_id, unnest(list_transform(keywords, x -> {_TERM})) as term from documents
-        union all select 'subjects', doc_id, unnest(list_transform(subjects, x -> {_TERM})) from documents),
+_COUNTS = f"""with e as (select 'keywords' as field, doc_id, unnest(list_transform(keywords, lambda x: {_TERM})) as term from documents
+        union all select 'subjects', doc_id, unnest(list_transform(subjects, lambda x: {_TERM})) from documents),
     size as (select field, count(distinct doc_id) as field_records from e where term <> '' group by field),
     counts as (select field, term, count(*) as occurrences, count(distinct doc_id) as records from e where term <> '' group by all),
     marked as (select field, term, occurrences, records, field_records, case when records <= 2 then 'rare' when records > 0.1 * field_records then 'common' end as mark from counts join size using (field))"""
