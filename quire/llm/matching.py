@@ -224,7 +224,7 @@ def calibration(counts: dict[tuple[int, int, int], int]) -> dict[tuple[int, int,
     their levels, in which the fields are taken to be independent among matches and among others."""
     fields = list(LEVELS)
     p_match, p_other, share = {f: np.array(MATCHES[f]) for f in fields}, {f: np.array(OTHERS[f]) for f in fields}, 0.5
-    patterns = np.array(list(counts)).reshape(-1, 3)
+    patterns = np.array(list(counts), np.int64).reshape(-1, 3)
     n = np.array(list(counts.values()), float)
     posterior = np.zeros(len(n))
     for _ in range(50):

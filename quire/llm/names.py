@@ -23,6 +23,8 @@ from quire.session import written
 from .arrow import map_arrow
 from .lookalike import same_look
 
+#: Names that a small collection is taken to have besides its own, so that chance doesn't make its trigrams rare or frequent.
+SMOOTH = 1000
 #: Power of the rarity by which a trigram weighs.
 SHARPNESS = 1.5
 #: Two words that both stand in this many names, and neither in FEWER times fewer than the other, are two words and no slip.
@@ -189,7 +191,7 @@ def similar_pairs(keys: DataFrame, threshold: float = COSINE) -> DataFrame:
     n = keys.count()
     features = map_arrow(keys.select("id", "words"), "id long, feature string", explode)
     df = features.groupBy("feature").agg(F.count("*").alias("df"))
-    weighted = features.join(df, "feature").select("id", F.xxhash64("feature").alias("f"), F.pow(F.log(F.lit(1.0 + n) / F.col("df")), SHARPNESS).alias("w"))
+    weighted = features.join(df, "feature").select("id", F.xxhash64("feature").alias("f"), F.pow(F.log(F.lit(float(n + SMOOTH)) / F.col("df")), SHARPNESS).alias("w"))
     # A vector: its features from the rarest on, of length 1.
     vectors = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("w"), F.col("f"))), asc=False).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 

@@ -178,12 +178,12 @@ def read_page(text: str, running: list[list[str]] | None = None) -> Page:
         small = sum(map(FUNCTION.__contains__, flat))
         links = sum(len("".join(WORD.findall(x))) for x in LINK.findall(block)) if "://" in block or "www." in block or "/" in block else 0
         if len(flat) >= 8 and small >= CLAUSE_SHARE * len(flat) and 2 * links < total:
-            if 2 * len(CITED.findall(block)) > 1 + block.count("\n"):
+            n_lines = 1 + block.count("\n")
+            if 2 * len(CITED.findall(block)) > n_lines or 2 * sum(bool(PAGED.search(x)) for x in LISTED.findall(block)) > n_lines:
                 page.scholarly += total
             else:
                 page.clauses += total
-                long = running is not None and len(flat) >= LEAST_WORDS and len(block.split()) >= LEAST_WORDS
-                if long and 2 * sum(bool(PAGED.search(x)) for x in LISTED.findall(block)) <= 1 + block.count("\n"):
+                if running is not None and len(flat) >= LEAST_WORDS and len(block.split()) >= LEAST_WORDS:
                     running.append(flat)
             continue
         # No clauses here: a heading, a list of scholars, or something else, line by line.
