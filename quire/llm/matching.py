@@ -36,7 +36,9 @@ LEAST_TITLE = 0.6
 YEAR = re.compile(r"(?<!\d)(?:1[4-9]\d\d|20\d\d)(?!\d)")
 _ROMAN = "i|ii|iii|iv|v|vi|vii|viii|ix|x|xi|xii"
 #: Words that count the parts and editions of a work, in the seven languages; a scanner may have read l or 1 for i.
-PART = re.compile(rf"\b(?:part[ei]?|teil|teii|tl|partie|deel|dl|tome|tomo|band|bd|volume|book|buch)\s+([ivxl1]{{1,4}}|\d{{1,2}})\b")
+PART = re.compile(r"\b(?:part[ei]?|teil|teii|tl|partie|deel|dl)\s+([ivxl1]{1,4}|\d{1,2})\b")
+#: Words that count volumes; outside the title they count those of a journal.
+VOLUME = re.compile(r"\b(?:tome|tomo|band|bd|volume|vol|book|buch)\s+([ivxl1]{1,4}|\d{1,2})\b")
 EDITION = re.compile(r"\b(\d{1,2}|se[ck]\w{1,3}d\w?|th\w?rd|zw\w?it\w|dr\w?tt\w|deu?x\w{2,5}|tro\w{1,3}eme|segund\w|terc\w{1,2}ra|terza|tw\w{2}de|d\w?rde)\s*(?:st|nd|rd|th|a|e|eme|ste|de)?\s*(?:rev\w*|erw\w*|verb\w*)?\s*(?:ed|edn|\w{1,2}?d\w?[tcz]\w{2,5}|aufl\w*|druk|uitg\w*)\b")
 _NUMBERS = {w: str(i + 1) for i, w in enumerate(_ROMAN.split("|"))}
 
@@ -50,11 +52,11 @@ def _fold(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", plain(text)))
 
 
-def marks(text: str) -> str:
-    """The parts and editions that a folded text names."""
+def marks(text: str, title: str) -> str:
+    """The parts and editions that a folded text names, and the volume that a folded title names."""
     number = lambda m: _NUMBERS.get(m.replace("l", "i").replace("1", "i"), m)
     nth = lambda m: m if m.isdigit() else "3" if m[:2] in ("th", "dr", "te", "de") and not m.startswith("deu") or m.startswith("tro") else "2"
-    return " ".join(sorted({"p" + number(m) for m in PART.findall(text)} | {"e" + nth(m) for m in EDITION.findall(text)}))
+    return " ".join(sorted({"p" + number(m) for m in PART.findall(text)} | {"e" + nth(m) for m in EDITION.findall(text)} | {"v" + number(m) for m in VOLUME.findall(title)}))
 
 
 def title_candidates(raw: str, title: str | None) -> list[str]:
@@ -159,8 +161,7 @@ def _references(df: DataFrame) -> DataFrame:
             given = [t for t in dict.fromkeys(map(_fold, title_candidates(raw, title))) if len(t) >= 8]
             whole = _fold(raw)
             first = surname(named[0]) if named else surname(re.split(r"[;&]|\band\b|\bund\b|,\s+(?=\S+\s+\S)|[.:(\"/]\s", re.sub(r"^\s*(?:\[\d+\]|\d+\.)\s*", "", raw))[0])
-            mark = marks(whole)
-            out += [(k, t, first, found[0] if found else "", sorted(set(found)), people, mark) for t in given]
+            out += [(k, t, first, found[0] if found else "", sorted(set(found)), people, marks(whole, t)) for t in given]
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [f.split()[0] for f in READ.split(", ")])
 
@@ -175,7 +176,7 @@ def _works(df: DataFrame) -> DataFrame:
             named = [n for n in names or [] if n and surname(n)]
             people = [_long(n) for n in named]
             if title:
-                out.append((k, title, surname(named[0]) if named else "", str(year) if year else "", [str(year)] if year else [], people, marks(title)))
+                out.append((k, title, surname(named[0]) if named else "", str(year) if year else "", [str(year)] if year else [], people, marks(title, title)))
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [f.split()[0] for f in READ.split(", ")])
 

@@ -32,7 +32,11 @@ def test_bits_count_pairs():
 
 @pytest.mark.parametrize(("text", "want"), [("a nave parte ii", "p2"), ("a nave second edition", "e2"), ("a nave teil 3 2 auflage", "e2 p3"), ("a nave", ""), ("deuxieme edition", "e2"), ("parf of it", ""), ("parte ll", "p2")])
 def test_marks(text, want):
-    assert marks(text) == want
+    assert marks(text, text) == want
+
+
+def test_a_journals_volume_is_no_part():
+    assert marks("a nave archiv bd 12", "a nave") == "" and marks("a nave band 2", "a nave band 2") == "v2"
 
 
 @pytest.mark.parametrize(
