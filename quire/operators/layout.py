@@ -210,3 +210,22 @@ def document_class(pages: Column, columns_: Column, depth: Column, contents: Col
     kind = F.element_at(F.array(*map(F.lit, order)), (1 - best["rank"]).cast("int"))
     everything = total[order[0]] + total[order[1]] + total[order[2]] + total[order[3]]
     return kind, F.greatest(F.lit(0.4), F.least(F.lit(0.95), F.round(best["score"] / everything, 2)))
+
+
+def band_clusters(candidates: DataFrame, rounds: int = 3) -> DataFrame:
+    """The clusters of furniture candidates of each document, side and parity: those near the medians form the first, those near
+    the medians of what is left the next, and so on for `rounds` rounds."""
+    labels = F.array(F.lit("all"), F.when((F.col("page_index") + 1) % 2 == 1, "odd").otherwise("even"))
+    rest = candidates.withColumn("parity", F.explode(labels))
+    keys = ["document_id", "side", "parity"]
+    out = None
+    for n in range(1, rounds + 1):
+        middle = rest.groupBy(*keys).agg(F.median("y0").alias("m0"), F.median("y1").alias("m1"))
+        off = rest.join(middle, keys).withColumn("d0", F.abs(F.col("y0") - F.col("m0"))).withColumn("d1", F.abs(F.col("y1") - F.col("m1"))).drop("m0", "m1")
+        spread = off.groupBy(*keys).agg(F.median("d0").alias("a0"), F.median("d1").alias("a1"))
+        near = (F.col("d0") <= F.greatest(2 * F.col("a0"), F.lit(0.005 * HEIGHT))) & (F.col("d1") <= F.greatest(2 * F.col("a1"), F.lit(0.005 * HEIGHT)))
+        marked = off.join(spread, keys).withColumn("near", near)
+        found = marked.filter("near").groupBy(*keys).agg(F.round(F.median("y0"), 4).alias("y0"), F.round(F.median("y1"), 4).alias("y1"), F.count("*").alias("pages")).withColumn("cluster", F.lit(n))
+        out = found if out is None else out.unionByName(found)
+        rest = marked.filter("not near").drop("d0", "d1", "a0", "a1", "near")
+    return out.select(*keys, "cluster", "y0", "y1", "pages")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, enrich, graph, layout, search, text
+from . import catalog, enrich, graph, layout, search, text, titles
 
 #: Modules that hold queries; each has QUERIES and ORACLE.
-MODULES = (text, catalog, layout, search, graph, enrich)
+MODULES = (text, catalog, layout, search, graph, enrich, titles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

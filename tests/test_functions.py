@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import fuzzy, geometry, text
+from quire.functions import fuzzy, geometry, similarity, text
 from quire.functions.identifiers import found
 
 
@@ -58,3 +58,14 @@ def test_fuzzy(spark):
 def test_overlap(spark):
     assert value(spark, geometry.overlap_ratio(F.lit(0.0), F.lit(10.0), F.lit(5.0), F.lit(9.0))) == 1.0
     assert value(spark, geometry.overlap_ratio(F.lit(0.0), F.lit(10.0), F.lit(12.0), F.lit(13.0))) == 0.0
+
+
+@pytest.mark.parametrize(("a", "b", "n"), [("teh", "the", 1), ("ca", "abc", 3), ("", "ab", 2), ("nave", "nave", 0)])
+def test_edits_with_swaps(spark, a, b, n):
+    assert value(spark, similarity.osa_distance(F.lit(a), F.lit(b))) == n
+
+
+def test_title_similarity(spark):
+    assert value(spark, similarity.title_similarity(F.lit("2.1 The nave"), F.lit("the nave"))) == 1.0
+    assert value(spark, similarity.word_overlap(F.lit("..."), F.lit(""))) == 1.0
+    assert value(spark, similarity.title_similarity(F.lit("timber frames of the north"), F.lit("carpets"))) < 0.2
