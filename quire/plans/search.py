@@ -29,8 +29,9 @@ def segment_search(spark: SparkSession, d: str) -> DataFrame:
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Segments to embed: headings with what follows them, and bodies of 40 words or more; at most 1,500 characters."""
     segments = table(spark, d, "text_segments", "document_id", "segment_id", "segment_index", "kind", "text").distinct().filter("text is not null")
-    order = Window.partitionBy("document_id").orderBy("segment_index", "segment_id")
-    placed = segments.withColumn("after", F.lead("text").over(order)).withColumn("heads", F.lag("kind").over(order))
+    # Neighbours are met by their number, so that no document is sorted in one task.
+    near = lambda step, *columns: segments.select("document_id", (F.col("segment_index") + step).alias("segment_index"), *columns)
+    placed = segments.join(near(-1, F.col("text").alias("after")), ["document_id", "segment_index"], "left").join(near(1, F.col("kind").alias("heads")), ["document_id", "segment_index"], "left")
     heads = placed.filter("kind = 'heading'").select("document_id", "segment_id", F.lit("heading").alias("chunk"), F.concat_ws("\n", "text", "after").alias("text"))
     bodies = placed.filter((F.col("kind") != "heading") & (F.coalesce("heads", F.lit("")) != "heading") & (word_count(F.col("text")) >= 40)).select("document_id", "segment_id", F.lit("body").alias("chunk"), "text")
     return heads.union(bodies).select(F.format_string("%d_%06d", "document_id", F.col("segment_id") % 1_000_000).alias("chunk_id"), "chunk", F.substring("text", 1, 1500).alias("text"))
