@@ -145,3 +145,19 @@ def surface(text: Column) -> dict[str, Column]:
         "has_url": text.rlike(r"https?://"),
         "is_caps": is_caps(text),
     }
+
+
+def evidence(text: Column) -> dict[str, Column]:
+    """What kind of text it may be: shares of lines with leader dots, with a number at the end, with a year after a name, and counts of citations."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(squeezed(x)) > 0)
+    n = F.greatest(F.size(lines), F.lit(1))
+    share = lambda pattern: F.round(F.size(F.filter(lines, lambda x: x.rlike(pattern))) / n, 6)
+    leaders, numbers, entries = share(r"\.{3,}"), share(r"\d\s*$"), share(r"^\p{Lu}[\p{L}'-]+, \p{Lu}\..*\d{4}")
+    return {
+        "leader_dots": leaders,
+        "line_end_numbers": numbers,
+        "entries": entries,
+        "contents_like": F.round(0.6 * leaders + 0.4 * numbers, 6),
+        "citations": F.regexp_count(text, F.lit(r"\(\p{Lu}[\p{L}'-]+ \d{4}\)")),
+        "numbered_citations": F.regexp_count(text, F.lit(r"\[\d{1,3}\]")),
+    }

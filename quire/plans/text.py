@@ -88,7 +88,12 @@ def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return both.select("meta_id", F.round(text.jaccard(text.token_set(F.col("title")), F.col("line")), 6).alias("jaccard"))
 
 
-QUERIES = {f.__name__: f for f in (text_quality_by_lang, first_lines, identifier_scan, identifier_summary, promoted_identifiers, heading_labels, chapter_levels, surface_features, corrupt_texts, keyword_lines, font_families, fuzzy_algebra, title_jaccard)}
+def text_evidence(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    return docs.select("doc_id", *(c.alias(n) for n, c in text.evidence(F.col("text")).items()))
+
+
+QUERIES = {f.__name__: f for f in (text_quality_by_lang, first_lines, identifier_scan, identifier_summary, promoted_identifiers, heading_labels, chapter_levels, surface_features, corrupt_texts, keyword_lines, font_families, fuzzy_algebra, title_jaccard, text_evidence)}
 
 _SQUEEZED = "trim(regexp_replace({0}, '[\\s\\x{{00a0}}]+', ' ', 'g'))"
 _FIRST = "lower(" + _SQUEEZED.format("coalesce(list_filter(string_split(text, chr(10)), lambda x: length(" + _SQUEEZED.format("x") + ") > 0)[1], substring(text, 1, 80))") + ")"
@@ -155,4 +160,9 @@ ORACLE = {
     "title_jaccard": f"""with m as (select distinct meta_id, document_id, title from extracted_metadata where title is not null), l as (select doc_id, {_FIRST} as line from documents),
         t as (select meta_id, {_TOKENS.format('title')} as a, {_TOKENS.format('line')} as b from m join l on document_id = doc_id)
         select meta_id, case when len(list_distinct(list_concat(a, b))) > 0 then round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) else 0.0 end as jaccard from t""",
+    "text_evidence": """with l as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda x: length(trim(regexp_replace(x, '[\\s\\x{00a0}]+', ' ', 'g'))) > 0) as v from documents where text is not null),
+        r as (select doc_id, text, round(len(list_filter(v, lambda x: regexp_matches(x, '\\.{3,}'))) / greatest(len(v), 1), 6) as leader_dots, round(len(list_filter(v, lambda x: regexp_matches(x, '\\d\\s*$'))) / greatest(len(v), 1), 6) as line_end_numbers,
+            round(len(list_filter(v, lambda x: regexp_matches(x, '^\\p{Lu}[\\p{L}''-]+, \\p{Lu}\\..*\\d{4}'))) / greatest(len(v), 1), 6) as entries from l)
+        select doc_id, leader_dots, line_end_numbers, entries, round(0.6 * leader_dots + 0.4 * line_end_numbers, 6) as contents_like,
+            len(regexp_extract_all(text, '\\(\\p{Lu}[\\p{L}''-]+ \\d{4}\\)')) as citations, len(regexp_extract_all(text, '\\[\\d{1,3}\\]')) as numbered_citations from r""",
 }
