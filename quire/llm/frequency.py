@@ -135,5 +135,5 @@ def term_frequency(df: DataFrame, fields: dict[str, Column], rare: int = 2, comm
 
     totals = placed.repartition(n_leaves, "leaf").drop("leaf").mapInArrow(aggregate, schema)
     sizes = lists.groupBy("field").agg(F.count("*").alias("field_records"))  # one row for each of `fields`
-    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(common) * F.col("field_records"), "common")
+    mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > F.lit(common).cast("decimal(12,9)") * F.col("field_records"), "common")
     return totals.join(F.broadcast(sizes), "field").select("field", "term", "occurrences", "records", "field_records", mark.alias("mark"))
