@@ -14,6 +14,7 @@ no more than another.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .names import SMALL, TITLES, plain
 
 #: 64-bit words of the title's vector, and of the vector of title, author and year; the radius of each is its words less one.
 TITLE_WORDS, RECORD_WORDS, AUTHOR_WORDS = 8, 12, 4
+#: The filter of the words that can meet has 2 ** FILTER_BITS places.
+FILTER_BITS = 23
 #: Weights of title, authors and year; the least confidence of a link.
 WEIGHTS, CONFIDENT = (0.6, 0.25, 0.15), 0.5
 #: Least title score of a pair that is looked at.
@@ -60,28 +63,29 @@ def marks(text: str, title: str) -> str:
 
 
 def title_candidates(raw: str, title: str | None) -> list[str]:
-    """The strings that may be the title of a printed reference: the parsed title, and what stands where the reference's style has the title."""
+    """The strings that may be the title of a printed reference: the parsed title, and whatever stands where one of the styles has the title.
+
+    A reference's style is not known, since initials, abbreviations and quotations make one look like another, so that all styles are tried.
+    """
     out = [title] if title else []
     raw = re.sub(r"^\s*(?:\[\d+\]|\(\d+\)|\d+\.)\s*", "", raw.replace("\n", " ").replace("\r", " ")).strip()
-    if quoted := re.findall(r"[\"“„«»”]\s*([^\"“”„«»]{8,}?)[,.]?\s*[\"”“«»]", raw):
-        return out + quoted[:2]
+    out += re.findall(r"[\"“„«»”]\s*([^\"“”„«»]{8,}?)[,.]?\s*[\"”“«»]", raw)
     if " / " in raw:
-        return [*out, raw.split(" / ")[0]]
+        out.append(raw.split(" / ")[0])
     if m := re.search(r"\(\D{0,4}\d{4}\w?\)[.,:]?\s+(.+)", raw):
-        if "In:" not in raw[: m.start()]:
-            tail = m.group(1)
-            cuts = [x.start() for x in re.finditer(r"[.?!]\s", tail)]
-            return out + ([tail[:c] for c in cuts[:2]] or [tail])
+        tail = m.group(1)
+        out += [tail[: x.start()] for x in re.finditer(r"[.?!]\s", tail)] or [tail]
     if m := re.search(r"^[^:]{3,}?:\s+(.+?)[.,]\s+In:?\s", raw):
         parts = re.split(r":\s+", m.group(0))
         # An organisation may be written with a colon of its own.
-        return out + [m.group(1)] + ([": ".join(parts[2:]).rsplit("In", 1)[0]] if len(parts) > 2 else [])
-    segments = [s for s in re.split(r"\.\s+", raw) if len(s) >= 12 and len(s.split()) >= 3]
-    if len(re.split(r"\.\s+", raw)) > 2:
-        return out + segments[:4]
-    # Names, title, place and year, parted by commas: the title begins after one of the first commas.
+        out += [m.group(1)] + ([": ".join(parts[2:]).rsplit("In", 1)[0]] if len(parts) > 2 else [])
+    if m := re.search(r"^[^:]{3,}?:\s+(.+?)(?:\.\s|$)", raw):
+        out.append(m.group(1))
+    out += [s for s in re.split(r"\.\s+", raw) if len(s) >= 8]
+    # Names, title, place and year, parted by commas: the title begins after one of the commas.
     pieces = re.split(r"[,;]\s+", re.sub(r",\s*[^,]*$", "", raw))
-    return out + [", ".join(pieces[k:]) for k in range(1, min(len(pieces), 9))] or [raw]
+    out += [", ".join(pieces[k:]) for k in range(1, len(pieces))]
+    return list(dict.fromkeys(out)) or [raw]
 
 
 def surname(name: str) -> str:
@@ -127,9 +131,51 @@ def _record_bits(titles: list[str], names: list[str], years: list[str]) -> np.nd
     return out
 
 
+def _words(column: pa.Array, words: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), words)
+
+
+def _slots(v: np.ndarray) -> np.ndarray:
+    """The place in the filter of each word of the vectors."""
+    h = v.view(np.uint64) ^ (np.arange(1, v.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(df: DataFrame, words: int) -> np.ndarray:
+    """A bit for the place of every word of the vectors of `df`, as 64-bit words; other words may share a place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            seen[_slots(_words(batch.column(0), words))] = True
+        masks = np.packbits(seen, bitorder="little").view(np.int64)
+        block = np.flatnonzero(masks)
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(masks[block])], ["block", "mask"])
+
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    found = df.select("v").mapInArrow(run, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+    out[found["block"].to_numpy()] = found["mask"].to_numpy()
+    return out
+
+
 def close_pairs(left: DataFrame, right: DataFrame, words: int) -> DataFrame:
-    """(l, r) for all rows of `left` and `right` (`key`, `v` of `words` integers) whose vectors differ in fewer than `words` bits."""
-    a = left.select(F.col("key").alias("l"), F.col("v").alias("lv"), F.posexplode("v").alias("at", "word"))
+    """(l, r) for all rows of `left` and `right` (`key`, `v` of `words` integers) whose vectors differ in fewer than `words` bits.
+
+    Words of `left` that a filter of fixed size shows to stand nowhere in `right` are left out of the join.
+    """
+    sent = left.sparkSession.sparkContext.broadcast(_filter(right, words))
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = _words(batch.column(1), words)
+        slot = _slots(v)
+        row, at = np.nonzero((sent.value[slot >> 6] >> (slot & 63)) & 1)
+        taken = v[row]
+        lists = pa.ListArray.from_arrays(np.arange(0, taken.size + 1, words, dtype=np.int32), pa.array(taken.ravel()))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists, pa.array(at.astype(np.int32)), pa.array(v[row, at])], ["l", "lv", "at", "word"])
+
+    a = map_arrow(left.select("key", "v"), "l long, lv array<long>, at int, word long", look)
     b = right.select(F.col("key").alias("r"), F.col("v").alias("rv"), F.posexplode("v").alias("at", "word"))
     differ = sum((F.bit_count(F.col("lv")[i].bitwiseXOR(F.col("rv")[i])) for i in range(1, words)), F.bit_count(F.col("lv")[0].bitwiseXOR(F.col("rv")[0])))
     return a.join(b, ["at", "word"]).filter(differ < words).select("l", "r").distinct()

@@ -50,6 +50,24 @@ def test_titles_of_all_styles(raw):
     assert "On the nave of Rome" in title_candidates(raw, None)
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "M. Rarohborn, G. T. Tertanthal, Andre Mankenstein, On the nave of Rome, Fympepoya 1944", "A. B. Berg, C. Berg, D. Berg, E. Berg, F. Berg, G. Berg, H. Berg, I. Berg, J. Berg, On the nave of Rome, Rome 1961",
+        '"Alpha text one" and "Beta text two", see "On the nave of Rome", 1961',
+        "St. Anne. Friends of. Old records here. More of the records. Yet more of records. Still more of records. On the nave of Rome. 1961", 'John "the younger one" Smith: On the nave of Rome. In: Rev. Typ. 37 (1933), S. 285.',
+    ],
+)
+def test_titles_where_styles_look_alike(raw):
+    assert "On the nave of Rome" in title_candidates(raw, None)
+
+
+def test_comma_style_with_initials_is_linked(spark):
+    w = spark.createDataFrame([(1, "Beitraege ueber die Dachwerke der Scheunen", 1944, ["M. Rarohborn"])], "work_id long, title string, year int, authors array<string>")
+    r = spark.createDataFrame([(1, "M. Rarohborn, G. T. Tertanthal, Andre Mankenstein, Beitraege ueber die Dachwerke der Scheunen, Fympepoya 1944", None, None, None)], "ref_id long, raw string, title string, year string, authors array<string>")
+    assert [(x.ref_id, x.work_id) for x in links(r, w).collect() if x.confidence >= CONFIDENT] == [(1, 1)]
+
+
 def test_links(spark):
     works = [(1, "On the nave of Rome", 1961, ["John Smith"]), (2, "On the nave of Rome, Part II", 1963, ["John Smith"]), (3, "Timber frames in the north of Wales", None, None), (4, None, 1900, ["X Y"]), (1, "On the nave of Rome", 1961, ["John Smith"])]
     refs = [
