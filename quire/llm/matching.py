@@ -28,7 +28,7 @@ from .lookalike import same_look
 from .names import SMALL, TITLES, plain
 
 #: 64-bit words of the title's vector, and of the vector of title, author and year; the radius of each is its words less one.
-TITLE_WORDS, RECORD_WORDS, AUTHOR_WORDS = 8, 12, 4
+TITLE_WORDS, RECORD_WORDS, AUTHOR_WORDS = 8, 16, 4
 #: The filter of the words that can meet has 2 ** FILTER_BITS places.
 FILTER_BITS = 23
 #: Weights of title, authors and year; the least confidence of a link.
@@ -230,7 +230,8 @@ def _works(df: DataFrame) -> DataFrame:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a & b, a, b))
+    # Of negative integers bitwise_count counts the bits of the absolute value.
+    return tuple(np.bitwise_count(x.view(np.uint64)).sum(axis=1, dtype=np.int64) for x in (a & b, a, b))
 
 
 def _scores(pairs: DataFrame) -> DataFrame:
@@ -303,14 +304,13 @@ def links(references: DataFrame, works: DataFrame) -> DataFrame:
     left = refs.select(F.col("id").alias("ref_id"), F.col("title").alias("lt"), F.xxhash64("title").alias("lh"), record_key.alias("lk"), F.col("authors").alias("la"), F.col("years").alias("ly"), F.col("marks").alias("lm"))
     right = own.select(F.col("id").alias("work_id"), F.col("title").alias("rt"), F.xxhash64("title").alias("rh"), record_key.alias("rk"), F.col("authors").alias("ra"), F.col("years").alias("ry"), F.col("marks").alias("rm"))
     columns = ["ref_id", "work_id", "lt", "rt", "la", "ra", "ly", "ry", "lm", "rm"]
-    found = written(left.join(by_title, left.lh == by_title.l).join(right, right.rh == by_title.r).select(*columns), "found")
-    # The index of whole records is for the references that their titles alone bring to no record.
+    scores = lambda df: _scores(df.select(*columns).filter("lm = rm").drop("lm", "rm").distinct()).filter(F.col("title") >= LEAST_TITLE)
+    found = written(scores(left.join(by_title, left.lh == by_title.l).join(right, right.rh == by_title.r)), "found")
+    # The index of whole records is for the references that their titles alone bring to no record of their part and edition.
     rest = refs.join(found.select(F.col("ref_id").alias("id")).distinct(), "id", "left_anti")
     by_record = close_pairs(_vectors(records(rest), RECORD_WORDS), _vectors(records(own), RECORD_WORDS), RECORD_WORDS)
-    more = left.join(by_record, left.lk == by_record.l).join(right, right.rk == by_record.r).select(*columns)
-    pairs = found.union(more).filter("lm = rm").drop("lm", "rm").distinct()
+    scored = found.union(scores(left.join(by_record, left.lk == by_record.l).join(right, right.rk == by_record.r)))
     level = lambda f: F.coalesce(*(F.when(F.col(f) >= x, F.lit(i)) for i, x in enumerate(LEVELS[f])))
-    scored = _scores(pairs).filter(F.col("title") >= LEAST_TITLE)
     scored = scored.groupBy("ref_id", "work_id").agg(F.max_by(F.struct("score", "title", "author", "year"), "score").alias("s")).select("ref_id", "work_id", "s.*")
     scored = written(scored.withColumn("levels", F.array(*map(level, LEVELS))), "scores")
     confidence = calibration({tuple(r["levels"]): r["count"] for r in scored.groupBy("levels").count().collect()})  # at most 64 rows

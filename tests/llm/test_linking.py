@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import names
-from quire.llm.matching import CONFIDENT, TITLE_WORDS, bits, close_pairs, links, marks, title_candidates
+from quire.llm.matching import CONFIDENT, TITLE_WORDS, _common, bits, close_pairs, links, marks, title_candidates
 
 
 def test_close_pairs_are_exact(spark):
@@ -68,6 +68,20 @@ def test_comma_style_with_initials_is_linked(spark):
     assert [(x.ref_id, x.work_id) for x in links(r, w).collect() if x.confidence >= CONFIDENT] == [(1, 1)]
 
 
+def test_three_wrong_letters_and_another_part_are_no_bar(spark):
+    works = [(1, "Zur Frage Gliederung von Memisosa", 1961, ["John Smith"]), (2, "Vom Dach zu Tynkig", 1961, ["John Smith"]), (3, "Pur Frage Gliederupg von Kemisosa, Teil I", 1970, ["Anna Berg"]), (4, "Zur Frage Gliederung von Memisosa, Teil II", 1970, ["Anna Berg"])]
+    refs = [(1, "", "Pur Frage Gliederupg von Kemisosa", "1961", ["John Smith"]), (2, "Anna Berg, Pur Frage Gliederupg von Kemisosa, Teil II, Rolvik 1970", "Pur Frage Gliederupg von Kemisosa, Teil II", "1970", ["Anna Berg"])]
+    w = spark.createDataFrame(works, "work_id long, title string, year int, authors array<string>")
+    r = spark.createDataFrame(refs, "ref_id long, raw string, title string, year string, authors array<string>")
+    assert {x.ref_id: x.work_id for x in links(r, w).collect() if x.confidence >= CONFIDENT} == {1: 1, 2: 4}
+
+
+def test_common_bits_of_negative_words():
+    a, b = (np.array([[-1, x, 5]], np.int64) for x in (-(2**63) + 1, -2))
+    want = [int(np.unpackbits(np.ascontiguousarray(x).view(np.uint8)).sum()) for x in (a & b, a, b)]
+    assert [int(x[0]) for x in _common(a, b)] == want
+
+
 def test_links(spark):
     works = [(1, "On the nave of Rome", 1961, ["John Smith"]), (2, "On the nave of Rome, Part II", 1963, ["John Smith"]), (3, "Timber frames in the north of Wales", None, None), (4, None, 1900, ["X Y"]), (1, "On the nave of Rome", 1961, ["John Smith"])]
     refs = [
