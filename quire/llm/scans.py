@@ -144,11 +144,10 @@ def _foreign(lines: list[str], number: int, j: int) -> bool:
 
 
 def _alone(lines: list[str], found: set[int]) -> list[int]:
-    """Lines that may be a header though no number is near: between two lines, beginning as a title does."""
+    """Lines that may be a header though they are not found by a number: they begin as a title does."""
     out = []
-    for i in range(1, len(lines) - 1):
-        line = lines[i]
-        if i in found or i - 1 in found or i + 1 in found or not 6 <= len(line) <= 90 or line[-1] in ".,;?!-(" + DIVIDED:
+    for i, line in enumerate(lines):
+        if i in found or not 6 <= len(line) <= 90 or line[-1] in ".,;?!-(" + DIVIDED:
             continue
         if (line[0].isupper() or line[0].isdigit()) and ". " not in line and len(line.split()) >= 2:
             out.append(i)
@@ -305,7 +304,7 @@ def _read(df: DataFrame, known: frozenset[str] | None) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         some = sent.value if sent else None
         has, first, tail, headers, breaks, words = [], [], [], [], [], []
-        for text, margin in zip(prepared(batch.column(6).to_pylist()), batch.column(5).to_pylist(), strict=True):
+        for text, margin, page in zip(prepared(batch.column(6).to_pylist()), batch.column(5).to_pylist(), batch.column(3).to_pylist(), strict=True):
             lines = lines_of(text)
             if margin:
                 has.append(bool(lines))
@@ -318,9 +317,13 @@ def _read(df: DataFrame, known: frozenset[str] | None) -> DataFrame:
             has.append(bool(found) or (len(lines) == 1 and bool(NUMBERED.match(lines[0])) and lines[0][0] != "["))
             tokens = list(map(_tokens, lines))
             heads = []
-            for i in _alone(lines, found):
-                if tokens[i - 1] and tokens[i] and tokens[i + 1]:
-                    heads.append({"line": i, "form": normal(lines[i]), "before": tokens[i - 1][-1], "first": tokens[i][0], "last": tokens[i][-1], "after": tokens[i + 1][0]} | _context(lines, i))
+            # A line that is all of a text on the first page is a title itself.
+            for i in _alone(lines, found) if len(lines) > 1 or page else []:
+                head = dict.fromkeys(("before", "first", "last", "after", "goes_on", "parted")) | {"line": i, "form": normal(lines[i])}
+                # Only a line between two others, none of them a page number, can be told by what goes together around it.
+                if 0 < i < len(lines) - 1 and found.isdisjoint((i - 1, i + 1)) and tokens[i - 1] and tokens[i] and tokens[i + 1]:
+                    head |= {"before": tokens[i - 1][-1], "first": tokens[i][0], "last": tokens[i][-1], "after": tokens[i + 1][0]} | _context(lines, i)
+                heads.append(head)
             kept = [i for i in range(len(lines)) if i not in found]
             first.append(next((tokens[i][0] for i in kept[:1] if tokens[i]), None))
             tail.append(None)
@@ -381,16 +384,16 @@ class Scans:
     def _headers(self, titles: DataFrame) -> DataFrame:
         """(field, id, line) of headers that stand alone in a text."""
         asked = self.read.select("field", "id", "document_id", F.explode("headers").alias("h")).select("field", "id", "document_id", "h.*").filter(F.length("form") > 0)
-        asked = self._n(self._n(asked, "often", "before"), "n_last", "last")
         total = self.words.agg(F.sum("n")).first()[0] or 0
         form = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}]+", " "))
-        known = self.texts.filter("margin").select("document_id", form.alias("form")).union(titles.select("document_id", "form")).filter(F.length("form") > 5).distinct().withColumn("known", F.lit(True))
-        asked = asked.join(known, ["document_id", "form"], "left")
+        known = self.texts.filter("margin").select("document_id", form.alias("form")).union(titles.select("document_id", "form")).filter(F.length("form") > 5).distinct()
+        told = asked.join(known, ["document_id", "form"], "left_semi")
+        asked = self._n(self._n(asked.filter("before is not null"), "often", "before"), "n_last", "last")
         for out, a, b in (("together", "before", "after"), ("into", "before", "first"), ("from", "last", "after")):
             asked = self._n(asked, out, a, b)
         flows = F.col("goes_on") & (F.col("together") >= TOGETHER) & (F.col("together") >= TOGETHER_SHARE * F.col("often"))
         apart = (flows | (F.col("parted") & (F.col("n_last") < NAME_SHARE * total))) & (F.col("into") < TOGETHER) & (F.col("from") < TOGETHER)
-        return asked.filter(F.col("known").isNotNull() | apart).select("field", "id", "line")
+        return told.select("field", "id", "line").union(asked.filter(apart).select("field", "id", "line")).distinct()
 
     def _divided(self) -> DataFrame:
         """(field, id, line, a, b, joined, is_word, joined_good, n_joined, next): the words divided at the end of a line or (line null) of a text; `is_word` where the parts belong together without a hyphen; `next` the text where the second half stands."""

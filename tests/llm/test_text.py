@@ -152,6 +152,20 @@ def test_scans(spark):
     assert fixed["text_segments.text", 1] == body and fixed["text_segments.text", 2] == "a well-known frame"
 
 
+def test_known_headers_at_the_edges_of_a_text(spark):
+    rows = [
+        ("blocks.text", 1, 2, 1, 0, True, "PROCEEDINGS OF THE SURVEY"),
+        ("blocks.text", 2, 2, 2, 1, False, "PROCEEDINGS OF THE SURVEY\nrecorded before the frame was moved."),
+        ("blocks.text", 3, 2, 3, 1, False, "recorded before the frame was\nProceedings of the Survey"),
+        ("blocks.text", 4, 2, 4, 1, False, "Proceedings of the survey 12"),
+        ("blocks.text", 5, 3, 2, 1, False, "PROCEEDINGS OF THE SURVEY\nrecorded before the frame was moved."),
+    ]
+    work = scans.Scans(spark.createDataFrame(rows, scans.SOURCE), spark.createDataFrame([], "document_id long, form string"))
+    assert {r.id for r in work.headers.collect()} == {2, 3, 4}
+    fixed = {r.row_id: r.text for r in work.repaired().collect()}
+    assert fixed[2] == "recorded before the frame was moved." and fixed[3] == "recorded before the frame was" and fixed[4] is None
+
+
 def test_scans_of_nothing(spark):
     work = scans.Scans(spark.createDataFrame([], scans.SOURCE), spark.createDataFrame([], "document_id long, form string"))
     assert work.noise().count() == 0 and work.repaired().count() == 0
