@@ -261,8 +261,8 @@ def deletes(word: str) -> set[str]:
 
 def corrections(words: DataFrame) -> DataFrame:
     """(word, good, cost, n_good) for each pair of a rare `word` and a frequent one that a scanner may have read it from, from
-    `words` (word, n). Words under three or over forty letters and plain numbers are left alone."""
-    usable = words.filter(F.length("word").between(3, 40) & ~F.col("word").contains("-") & ~F.col("word").rlike(r"^\d+$"))
+    `words` (word, n). Words under two or over forty letters and plain numbers are left alone."""
+    usable = words.filter(F.length("word").between(2, 40) & ~F.col("word").contains("-") & ~F.col("word").rlike(r"^\d+$"))
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(0).to_pylist()
@@ -283,6 +283,11 @@ def corrections(words: DataFrame) -> DataFrame:
     return mixed.unionByName(_weighed(pairs.filter(~F.col("word").rlike(NUMBER)), weigh))
 
 
+def correctable(word: str) -> bool:
+    """Whether `corrections` may have the word, which is not worth looking up otherwise."""
+    return len(word) >= 2 and not (word.isascii() and word.isdigit())
+
+
 def _weighed(pairs: DataFrame, weigh: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     return map_arrow(pairs, "word string, good string, cost double, n_good long", weigh).filter(F.col("cost") <= MOST)
 
@@ -339,7 +344,7 @@ def _read(df: DataFrame, known: frozenset[str] | None) -> DataFrame:
                 if some is not None and some.isdisjoint(ws):
                     continue
                 for k, w in enumerate(ws):
-                    if (w in some) if some is not None else len(w) >= 3 and not w.isdigit():
+                    if (w in some) if some is not None else correctable(w):
                         asked.append({"line": line, "before": ws[k - 1] if k else None, "word": w, "after": ws[k + 1] if k + 1 < len(ws) else None})
             headers.append(heads)
             breaks.append(cuts)

@@ -166,6 +166,15 @@ def test_known_headers_at_the_edges_of_a_text(spark):
     assert fixed[2] == "recorded before the frame was moved." and fixed[3] == "recorded before the frame was" and fixed[4] is None
 
 
+def test_short_misreadings_at_any_size_of_input(spark, monkeypatch):
+    rows = [("blocks.text", i, 1, i, 1, False, "la nave se conserva en la torre") for i in range(40)]
+    rows += [("blocks.text", 100, 2, 1, 1, False, "la nave 5e conserva en la torre"), ("blocks.text", 101, 2, 2, 1, False, "la nave l6 conserva en la torre")]
+    df, none = spark.createDataFrame(rows, scans.SOURCE), spark.createDataFrame([], "document_id long, form string")
+    for limit in (scans.BROADCAST_CORRECTIONS, -1):
+        monkeypatch.setattr(scans, "BROADCAST_CORRECTIONS", limit)
+        assert {(r.id, r.word, r.good) for r in scans.Scans(df, none).misread().collect()} == {(100, "5e", "se"), (101, "l6", "16")}
+
+
 def test_scans_of_nothing(spark):
     work = scans.Scans(spark.createDataFrame([], scans.SOURCE), spark.createDataFrame([], "document_id long, form string"))
     assert work.noise().count() == 0 and work.repaired().count() == 0
