@@ -49,12 +49,19 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 cosine = q @ _unit(_matrix(batch.column(1))).T
                 cosine[names[:, None] == ids[None, :]] = -np.inf
-                n = min(k + 16, cosine.shape[1])  # more than k, so that rounded ties are not cut here
-                best = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
-                a = np.repeat(np.arange(len(names)), n)
-                c = cosine[a, best.ravel()]
-                ok = np.isfinite(c)
-                yield pa.RecordBatch.from_arrays([pa.array(names[a][ok]), pa.array(ids[best.ravel()][ok]), pa.array(np.round(c[ok], 6))], ["query", "id", "cosine"])
+                rounded = np.round(cosine, 6)
+                n = min(k, rounded.shape[1])
+                if not n:
+                    continue
+                least = -np.partition(-rounded, n - 1, axis=1)[:, n - 1 : n]
+                # All rows that are not below the k-th; of those equal to it, the smaller ids fill up the k.
+                a, b = np.nonzero((rounded >= least) & np.isfinite(rounded))
+                order = np.lexsort((ids[b], -rounded[a, b], a))
+                a, b = a[order], b[order]
+                first = np.searchsorted(a, a)
+                ok = np.arange(len(a)) - first < k
+                a, b = a[ok], b[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(ids[b]), pa.array(rounded[a, b])], ["query", "id", "cosine"])
 
         found = kept.mapInArrow(work, "query long, id long, cosine double")
         out = found if out is None else out.union(found)

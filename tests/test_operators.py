@@ -40,6 +40,13 @@ def test_merges(spark):
     assert get(catalog.inserted(nulls, spark.createDataFrame([(None,), (2,), (2,)], "k int"), ["k"]).fillna(-1)) == [(-1,), (1,), (2,)]
 
 
+def test_nearest_of_many_equal_vectors_takes_the_smaller_ids(spark):
+    ids = random.Random(3).sample(range(1, 400), 399)
+    df = spark.createDataFrame([(0, [1.0, 0.5])] + [(i, [1.0, 0.5] if i % 3 == 0 else [0.5, 1.0 + i / 400]) for i in ids], "id long, v array<double>").coalesce(1)
+    got = sorted(r.id for r in nearest(df, df.filter("id = 0"), "id", "v", 5).collect())
+    assert got == [3, 6, 9, 12, 15]
+
+
 def test_nearest_is_exact(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8)).round(3)
