@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import catalog, graph, layout
 from quire.operators.vectors import nearest
+from quire.plans.search import semantic_chunks
 from quire.sources.files import csv_table, document_files
 from quire.streaming.incremental import arrivals, fresh, ingest
 
@@ -40,6 +41,13 @@ def test_merges(spark):
     assert get(catalog.inserted(nulls, spark.createDataFrame([(None,), (2,), (2,)], "k int"), ["k"]).fillna(-1)) == [(-1,), (1,), (2,)]
 
 
+def test_chunks_over_gaps_and_null_texts(spark, tmp_path):
+    rows = [(1, 1, 0, "heading", "The nave"), (1, 2, 1, "paragraph", None), (1, 3, 4, "paragraph", "word " * 50), (2, 4, 0, "heading", "The roof"), (2, 5, 2, "paragraph", "Short.")]
+    spark.createDataFrame(rows, "document_id long, segment_id long, segment_index int, kind string, text string").write.parquet(str(tmp_path / "text_segments.parquet"))
+    got = {r.chunk_id: (r.chunk, r.text) for r in semantic_chunks(spark, str(tmp_path)).collect()}
+    assert got == {"1_000001": ("heading", "The nave\n" + "word " * 50), "2_000004": ("heading", "The roof\nShort.")}
+
+
 def test_nearest_of_many_equal_vectors_takes_the_smaller_ids(spark):
     ids = random.Random(3).sample(range(1, 400), 399)
     df = spark.createDataFrame([(0, [1.0, 0.5])] + [(i, [1.0, 0.5] if i % 3 == 0 else [0.5, 1.0 + i / 400]) for i in ids], "id long, v array<double>").coalesce(1)
