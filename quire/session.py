@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,10 +36,12 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder all executors share: `spark.checkpoint.dir`; on a single machine one of our own where it is unset. Raises ValueError on a cluster without one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"quire-{os.getpid()}")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -56,14 +59,23 @@ def _remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
     """`df` written as a table in the shared folder and read again: the lineage ends there and a lost executor costs nothing.
 
-    The table is removed when the process ends.
+    The table is removed when the process ends, or by `dropped`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._quire_path = path
+    return back
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Remove tables of `written` that nothing reads any more; anything else is left alone."""
+    for df in tables:
+        if path := getattr(df, "_quire_path", None):
+            _remove(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -101,3 +101,16 @@ def test_furniture_of_shifted_pages(spark):
     bands = layout.furniture_bands(layout.furniture_candidates(layout.bands(layout.text_blocks(df))))
     sides = {(r.side, r.parity): (r.y0, r.y1) for r in bands.collect()}
     assert sides["bottom", "all"] == (760.0, 780.0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quire.session import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("yarn", "hdfs://x/shared/")) == "hdfs://x/shared"
+    assert shared_dir(session("local[4]", None)).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
