@@ -7,21 +7,21 @@ one. Words divided at the end of a line are looked up joined, as compounds and i
 told by their place on the page, by their form, by the headers known for the document, and by whether the line before and the
 line after go together better without them.
 
-A text is read line by line in Arrow batches; whatever has to be looked up in the corpus becomes rows, so that no lexicon has
-to fit in a task. The table of corrections is broadcast only while it is small.
+A text is read once, line by line in Arrow batches; whatever has to be looked up in the corpus becomes rows, so that no lexicon
+has to fit in a task. A filter of fixed size picks the words that may have a correction, whatever their number.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +36,31 @@ c e|e c|1 l|l 1|1 i|l i|i l|0 o|o 0|5 s|8 b|6 b|6 é|9 g|2 z|4 a|b h|h b|b ß|ß
 in m|m in|nn m|ni m|fl ſl|fi ſi|y v|v y|@ a|@ o|@ e|q g|g q|ij ü|lc k|tl d|rri m|iii m|iu ui|hn lm|l t|t l|i j|j i|x z
 """
 PAIRS = tuple(tuple(p.split()) for p in CONFUSIONS.replace("\n", "").split("|") if len(p.split()) == 2)
+#: The confusions as the keys of words without accents have them, and a bar that may stand for any upright letter.
+BARE_PAIRS = sorted({(a, b.replace("é", "e").replace("ü", "u")) for a, b in PAIRS} | {("|", x) for x in "lit"})
 #: Cost of a confusion, of a lost accent, and the most that a misreading may cost.
 CONFUSED, MOST = 0.3, 0.65
 #: A correction has to be this many times as frequent as what it corrects, and a little more.
 RATIO, LEAST = 30, 5
-#: Rows of corrections that may be broadcast.
-BROADCAST_CORRECTIONS = 300_000
+#: The filter of the words that have corrections has 2 ** FILTER_BITS places.
+FILTER_BITS = 23
+#: Good words with fewer letters are found by the variants of a misreading and one delete, longer ones by two deletes.
+SHORT = 6
 #: Height of the margins in which a page's headers and numbers stand, as a share of the page.
 MARGIN = 0.06
 #: Times that two words stand together, and the share of the first one's, from which on they go together.
 TOGETHER, TOGETHER_SHARE = 2, 0.002
 #: A word with less than this share of all words may be a name at the end of a title, not a word in a sentence.
 NAME_SHARE = 1e-4
-#: Distinct words and pairs that a task holds while counting.
-HELD = 400_000
+#: Words that a task holds before it counts them.
+HELD = 2_000_000
 
 #: Stands for a mark of division that is no hyphen of a word (soft hyphen, not sign).
 DIVIDED = "\ue000"
 BREAK = re.compile("\r\n|[\r\n\x85\u2028\u2029]")
 TOKEN = re.compile(r"@?[^\W_]+(?:[@|][^\W_]+)*@?")
+PLAIN_TOKEN = re.compile(r"[^\W_]+")
+_LETTERS = "".join(c.lower() if c.isalnum() else " " for c in map(chr, range(128)))
 END = re.compile(f"([^\\W_][\\w@]*)([-{DIVIDED}])\\s*$")
 #: A number with letters in it that look like digits.
 NUMBER = r"^(?=.*[0-9])(?=.*[a-z])(?:[0-9loi]|(?<=[0-9])[sbz](?=[0-9]))+$"
@@ -90,7 +96,8 @@ def prepared(texts: list[str | None]) -> list[str]:
 
 
 def lines_of(text: str) -> list[str]:
-    return [x.strip() for x in BREAK.split(text) if x.strip()]
+    lines = text.split("\n") if text.isascii() and "\r" not in text else BREAK.split(text)
+    return [y for x in lines if (y := x.strip())]
 
 
 def _bare_line(line: str) -> str:
@@ -161,7 +168,11 @@ def _context(lines: list[str], i: int) -> dict[str, bool]:
 
 
 def _tokens(line: str) -> list[str]:
-    return TOKEN.findall(line.lower())
+    if "@" in line or "|" in line:
+        return TOKEN.findall(line.lower())
+    if line.isascii():
+        return line.translate(_LETTERS).split()
+    return PLAIN_TOKEN.findall(line.lower())
 
 
 def _parts(lines: list[str], tokens: list[list[str]], skip: set[int]) -> Iterator[tuple[list[str], tuple[str, str] | None]]:
@@ -180,41 +191,6 @@ def _parts(lines: list[str], tokens: list[list[str]], skip: set[int]) -> Iterato
         yield words, (cut.group(1), cut.group(2)) if cut else None
 
 
-def count_words(df: DataFrame) -> DataFrame:
-    """(word, other, n): how often each word stands in the column `text`, with `other` null, and how often the word is
-    followed by `other`; words parted by a hyphen count as `a-b` too. Words divided at the end of a line are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one: Counter[str] = Counter()
-        two: Counter[tuple[str, str]] = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.string()), pa.nulls(len(one), pa.string()), pa.array(list(one.values()), pa.int64())], ["word", "other", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in two], pa.string()), pa.array([b for _, b in two], pa.string()), pa.array(list(two.values()), pa.int64())], ["word", "other", "n"])
-            one.clear()
-            two.clear()
-
-        for batch in batches:
-            for text in prepared(batch.column(0).to_pylist()):
-                lines = lines_of(text)
-                words: list[str] = []
-                for found, cut in _parts(lines, list(map(_tokens, lines)), furniture(lines)):
-                    words += found
-                    if cut:
-                        one.update(words)
-                        two.update(zip(words, words[1:], strict=False))
-                        words = []
-                one.update(words)
-                two.update(zip(words, words[1:], strict=False))
-                if "-" in text:
-                    one.update(f"{a}-{b}" for a, b in COMPOUND.findall(text.lower()))
-            if len(one) + len(two) > HELD:
-                yield from flush()
-        yield from flush()
-
-    return df.select("text").mapInArrow(run, "word string, other string, n long").groupBy("word", "other").agg(F.sum("n").alias("n"))
-
-
 @lru_cache(1)
 def _by_last() -> dict[str, list[tuple[str, str]]]:
     out: dict[str, list[tuple[str, str]]] = {}
@@ -251,41 +227,75 @@ def misreading(bad: str, good: str) -> float:
     return rows[n][m]
 
 
-def deletes(word: str) -> set[str]:
-    """The word and what remains when one or (in words of four letters or more) two of its characters are deleted."""
+def bare_form(word: str) -> str:
+    """The word without accents, as many letters as before."""
+    return word if word.isascii() else "".join(map(_bare, word))
+
+
+def variants(word: str) -> set[str]:
+    """The word, and the words of which it is a misreading by one confusion, without accents."""
     out = {word}
-    for size in (1, 2) if len(word) >= 4 else (1,):
+    for bad, good in BARE_PAIRS:
+        at = word.find(bad)
+        while at >= 0:
+            out.add(word[:at] + good + word[at + len(bad) :])
+            at = word.find(bad, at + 1)
+    return out
+
+
+def deletes(word: str, most: int) -> set[str]:
+    """The word and what remains when up to `most` of its characters are deleted."""
+    out = {word}
+    for size in range(1, most + 1):
         out.update("".join(c for i, c in enumerate(word) if i not in cut) for cut in combinations(range(len(word)), size))
     return out
 
 
+def good_keys(word: str) -> set[str]:
+    """The keys of a right word: itself and one delete where it is short, two deletes where it is long. Keys of two letters are no deletes, so that none is shared by many words."""
+    bare = bare_form(word)
+    if len(bare) >= SHORT:
+        return deletes(bare, 2)
+    return {"=" + k for k in (deletes(bare, 1) if len(bare) >= 4 else {bare})}
+
+
+def bad_keys(word: str) -> set[str]:
+    """The keys of a word that may be misread: those of all right words that two confusions lead to."""
+    bare = bare_form(word)
+    out = {k for k in deletes(bare, 2) if len(k) >= SHORT - 2}
+    if len(bare) < SHORT + 2:
+        for v in variants(bare):
+            out.add("=" + v)
+            if len(v) >= 4:
+                out.update("=" + k for k in deletes(v, 1) if len(k) >= 3)
+    return out
+
+
 def corrections(words: DataFrame) -> DataFrame:
     """(word, good, cost, n_good) for each pair of a rare `word` and a frequent one that a scanner may have read it from, from
-    `words` (word, n). Words under two or over forty letters and plain numbers are left alone."""
+    `words` (word, n). Words of one letter or of more than forty and plain numbers are left alone."""
     usable = words.filter(F.length("word").between(2, 40) & ~F.col("word").contains("-") & ~F.col("word").rlike(r"^\d+$"))
 
-    def index(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(0).to_pylist()
-        sets = [deletes(t) for t in texts]
-        at = pa.array(np.repeat(np.arange(len(texts)), [len(s) for s in sets]))
-        return pa.RecordBatch.from_arrays([pa.array([d for s in sets for d in s], pa.string()), batch.column(0).take(at), batch.column(1).take(at)], ["key", "word", "n"])
+    def indexed(df: DataFrame, keys: Callable[[str], set[str]]) -> DataFrame:
+        def index(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = list(map(keys, batch.column(0).to_pylist()))
+            at = pa.array(np.repeat(np.arange(len(sets)), list(map(len, sets))), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([k for s in sets for k in s], pa.string()), batch.column(0).take(at), batch.column(1).take(at)], ["key", "word", "n"])
+
+        return map_arrow(df.select("word", "n"), "key string, word string, n long", index).select(F.xxhash64("key").alias("key"), "word", "n")
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
         cost = pa.array([misreading(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.float64())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cost, batch.column(2)], ["word", "good", "cost", "n_good"])
 
-    keyed = map_arrow(usable, "key string, word string, n long", index).select(F.xxhash64("key").alias("key"), "word", "n")
-    good = keyed.filter((F.col("n") >= LEAST) & ~F.col("word").rlike(r"[\d@|ſ]")).select("key", F.col("word").alias("good"), F.col("n").alias("n_good"))
-    near = keyed.join(good, "key").filter((F.col("word") != F.col("good")) & (F.col("n_good") >= LEAST + RATIO * (F.col("n") - 1)) & (F.abs(F.length("word") - F.length("good")) <= 2))
+    good = indexed(usable.filter((F.col("n") >= LEAST) & ~F.col("word").rlike(r"[\d@|ſ]")), good_keys).select("key", F.col("word").alias("good"), F.col("n").alias("n_good"))
+    most = F.lit(usable.agg(F.max("n")).first()[0] or 0)
+    rare = usable.filter((LEAST + RATIO * (F.col("n") - 1) <= most) & ~F.col("word").rlike(NUMBER))
+    near = indexed(rare, bad_keys).join(good, "key").filter((F.col("word") != F.col("good")) & (F.col("n_good") >= LEAST + RATIO * (F.col("n") - 1)) & (F.abs(F.length("word") - F.length("good")) <= 2))
     pairs = near.select("word", "good", "n_good").distinct()
     digits = F.translate("word", "loisbz", "101582")
     mixed = words.filter(F.col("word").rlike(NUMBER)).select("word", digits.alias("good"), F.lit(CONFUSED).alias("cost"), F.lit(0).cast("long").alias("n_good"))
-    return mixed.unionByName(_weighed(pairs.filter(~F.col("word").rlike(NUMBER)), weigh))
-
-
-def correctable(word: str) -> bool:
-    """Whether `corrections` may have the word, which is not worth looking up otherwise."""
-    return len(word) >= 2 and not (word.isascii() and word.isdigit())
+    return mixed.unionByName(_weighed(pairs, weigh))
 
 
 def _weighed(pairs: DataFrame, weigh: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
@@ -296,64 +306,168 @@ SOURCE = "field string, id long, document_id long, page int, place int, margin b
 READ = (
     "field string, id long, document_id long, page int, place int, margin boolean, furniture boolean, first string, tail struct<a: string, mark: string>, "
     "headers array<struct<line: int, form: string, before: string, first: string, last: string, after: string, goes_on: boolean, parted: boolean>>, breaks array<struct<line: int, a: string, b: string, mark: string>>, "
-    "words array<struct<line: int, before: string, word: string, after: string>>"
+    "lines array<int>, said string, word string, other string, n long"
 )
 
 
-def _read(df: DataFrame, known: frozenset[str] | None) -> DataFrame:
-    """What each text has that is certain, and what has to be looked up. `known` are the words that have corrections; without it every word is handed on."""
-    kinds = dict(zip(("headers", "breaks", "words"), ("line:i form:s before:s first:s last:s after:s goes_on:b parted:b", "line:i a:s b:s mark:s", "line:i before:s word:s after:s"), strict=True))
-    types = {name: pa.list_(pa.struct([(f.split(":")[0], {"i": pa.int32(), "s": pa.string(), "b": pa.bool_()}[f[-1]]) for f in fields.split()])) for name, fields in kinds.items()}
-    sent = df.sparkSession.sparkContext.broadcast(known) if known is not None else None
+def _read(df: DataFrame, held: int = HELD) -> DataFrame:
+    """What each text has that is certain, and what has to be looked up; and how often its words and pairs of words stand in the texts.
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        some = sent.value if sent else None
-        has, first, tail, headers, breaks, words = [], [], [], [], [], []
-        for text, margin, page in zip(prepared(batch.column(6).to_pylist()), batch.column(5).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            lines = lines_of(text)
-            if margin:
-                has.append(bool(lines))
-                first.append(None)
-                tail.append(None)
-                for x in (headers, breaks, words):
-                    x.append([])
-                continue
-            found = furniture(lines)
-            has.append(bool(found) or (len(lines) == 1 and bool(NUMBERED.match(lines[0])) and lines[0][0] != "["))
-            tokens = list(map(_tokens, lines))
-            heads = []
-            # A line that is all of a text on the first page is a title itself.
-            for i in _alone(lines, found) if len(lines) > 1 or page else []:
-                head = dict.fromkeys(("before", "first", "last", "after", "goes_on", "parted")) | {"line": i, "form": normal(lines[i])}
-                # Only a line between two others, none of them a page number, can be told by what goes together around it.
-                if 0 < i < len(lines) - 1 and found.isdisjoint((i - 1, i + 1)) and tokens[i - 1] and tokens[i] and tokens[i + 1]:
-                    head |= {"before": tokens[i - 1][-1], "first": tokens[i][0], "last": tokens[i][-1], "after": tokens[i + 1][0]} | _context(lines, i)
-                heads.append(head)
-            kept = [i for i in range(len(lines)) if i not in found]
-            first.append(next((tokens[i][0] for i in kept[:1] if tokens[i]), None))
-            tail.append(None)
-            cuts, asked = [], []
-            for n, (ws, cut) in enumerate(_parts(lines, tokens, found)):
-                line = kept[n]
-                if cut and n + 1 < len(kept):
-                    following = tokens[kept[n + 1]]
-                    if following and lines[kept[n + 1]][:1].isalnum():
-                        cuts.append({"line": line, "a": cut[0], "b": following[0], "mark": cut[1]})
-                elif cut:
-                    tail[-1] = {"a": cut[0], "mark": cut[1]}
-                if some is not None and some.isdisjoint(ws):
+    A row of a text has `said`: the words of each of `lines`, parted by blanks, the lines by line breaks, without the halves of
+    divided words. A row with `n` counts `word`, or `word` followed by `other`, in some of the texts outside margins; words
+    parted by a hyphen count as `a-b` too, words divided at the end of a line don't.
+    """
+    headers_type = pa.list_(pa.struct([("line", pa.int32()), *((f, pa.string()) for f in ("form", "before", "first", "last", "after")), ("goes_on", pa.bool_()), ("parted", pa.bool_())]))
+    breaks_type = pa.list_(pa.struct([("line", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("mark", pa.string())]))
+    names = "field id document_id page place margin furniture first tail headers breaks lines said word other n".split()
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.struct([("a", pa.string()), ("mark", pa.string())]), headers_type, breaks_type, pa.list_(pa.int32()), pa.string(), pa.string(), pa.string(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All words in a row, runs parted by nulls.
+        stream: list[pa.Array] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            all_words = pa.chunked_array(stream, pa.string()).combine_chunks().dictionary_encode() if stream else pa.array([], pa.string()).dictionary_encode()
+            code = pc.fill_null(all_words.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = np.bincount(code[code >= 0], minlength=len(all_words.dictionary))
+            yield from counted(all_words.dictionary, pa.nulls(len(n), pa.string()), n)
+            a, b = code[:-1], code[1:]
+            both = (a >= 0) & (b >= 0)
+            pair, times = np.unique(a[both] << 32 | b[both], return_counts=True)
+            yield from counted(all_words.dictionary.take(pa.array(pair >> 32)), all_words.dictionary.take(pa.array(pair & 0xFFFFFFFF)), times)
+            stream.clear()
+
+        def counted(words: pa.Array, others: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(words), 100_000):
+                part = words[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), t) for t in types[:13]] + [part, others[k : k + 100_000], pa.array(n[k : k + 100_000], pa.int64())], names)
+
+        for batch in batches:
+            has, first, tail, headers, breaks, lines_said, said = [], [], [], [], [], [], []
+            words: list[str | None] = []
+            for text, margin, page in zip(prepared(batch.column(6).to_pylist()), batch.column(5).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                lines = lines_of(text)
+                if margin or not lines:
+                    has.append(bool(lines))
+                    first.append(None)
+                    tail.append(None)
+                    said.append(None)
+                    for x in (headers, breaks, lines_said):
+                        x.append([])
                     continue
-                for k, w in enumerate(ws):
-                    if (w in some) if some is not None else correctable(w):
-                        asked.append({"line": line, "before": ws[k - 1] if k else None, "word": w, "after": ws[k + 1] if k + 1 < len(ws) else None})
-            headers.append(heads)
-            breaks.append(cuts)
-            words.append(asked)
-        columns = [pa.array(has, pa.bool_()), pa.array(first, pa.string()), pa.array(tail, pa.struct([("a", pa.string()), ("mark", pa.string())]))]
-        columns += [pa.array(x, types[name]) for name, x in (("headers", headers), ("breaks", breaks), ("words", words))]
-        return pa.RecordBatch.from_arrays([batch.column(i) for i in range(6)] + columns, ["field", "id", "document_id", "page", "place", "margin", "furniture", "first", "tail", "headers", "breaks", "words"])
+                found = furniture(lines)
+                has.append(bool(found) or (len(lines) == 1 and bool(NUMBERED.match(lines[0])) and lines[0][0] != "["))
+                tokens = list(map(_tokens, lines))
+                heads = []
+                # A line that is all of a text on the first page is a title itself.
+                for i in _alone(lines, found) if len(lines) > 1 or page else []:
+                    head = dict.fromkeys(("before", "first", "last", "after", "goes_on", "parted")) | {"line": i, "form": normal(lines[i])}
+                    # Only a line between two others, none of them a page number, can be told by what goes together around it.
+                    if 0 < i < len(lines) - 1 and found.isdisjoint((i - 1, i + 1)) and tokens[i - 1] and tokens[i] and tokens[i + 1]:
+                        head |= {"before": tokens[i - 1][-1], "first": tokens[i][0], "last": tokens[i][-1], "after": tokens[i + 1][0]} | _context(lines, i)
+                    heads.append(head)
+                kept = [i for i in range(len(lines)) if i not in found]
+                first.append(next((tokens[i][0] for i in kept[:1] if tokens[i]), None))
+                tail.append(None)
+                cuts, at, parts = [], [], []
+                for n, (ws, cut) in enumerate(_parts(lines, tokens, found)):
+                    line = kept[n]
+                    if ws:
+                        at.append(line)
+                        parts.append(" ".join(ws))
+                        words += ws
+                    if not cut:
+                        continue
+                    words.append(None)
+                    if n + 1 < len(kept):
+                        following = tokens[kept[n + 1]]
+                        if following and lines[kept[n + 1]][:1].isalnum():
+                            cuts.append({"line": line, "a": cut[0], "b": following[0], "mark": cut[1]})
+                    else:
+                        tail[-1] = {"a": cut[0], "mark": cut[1]}
+                words.append(None)
+                if "-" in text:
+                    for a, b in COMPOUND.findall(text.lower()):
+                        words += [f"{a}-{b}", None]
+                headers.append(heads)
+                breaks.append(cuts)
+                lines_said.append(at)
+                said.append("\n".join(parts))
+            columns = [pa.array(x, t) for x, t in zip((has, first, tail, headers, breaks, lines_said, said), types[6:13], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).cast(t) for i, t in enumerate(types[:6])] + columns + [pa.nulls(len(has), t) for t in types[13:]], names)
+            stream.append(pa.array(words, pa.string()))
+            if sum(map(len, stream)) > held:
+                yield from flush()
+        yield from flush()
+
+    return df.mapInArrow(run, READ)
+
+
+def _slots(words: pa.Array, bits: int) -> np.ndarray:
+    """The place in a filter of 2 ** bits places of each word."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    if not len(words) or ends[-1] == ends[0]:
+        return np.zeros(len(words), np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    starts = ends[:-1] - ends[0]
+    sizes = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * _powers()[place & 1023]
+    full = sizes > 0
+    h = np.zeros(len(words), np.uint64)
+    h[full] = np.add.reduceat(terms, starts[full])
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+@lru_cache(1)
+def _powers() -> np.ndarray:
+    return np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(1024)], np.uint64)
+
+
+def _filter(words: DataFrame, bits: int) -> np.ndarray:
+    """A bit for the place of every word of the column `word`, as 64-bit integers; other words may share a place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[_slots(batch.column(0), bits)] = True
+        masks = np.packbits(seen, bitorder="little").view(np.int64)
+        block = np.flatnonzero(masks)
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(masks[block])], ["block", "mask"])
+
+    out = np.zeros(1 << bits - 6, np.int64)
+    found = words.select("word").mapInArrow(run, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** (bits - 6) rows
+    out[found["block"].to_numpy()] = found["mask"].to_numpy()
+    return out
+
+
+def _asked(read: DataFrame, fixes: DataFrame, bits: int) -> DataFrame:
+    """(field, id, line, before, word, after) of the words of `read` that may stand in `fixes`; a filter of fixed size lets a few others through."""
+    sent = read.sparkSession.sparkContext.broadcast(_filter(fixes, bits))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = pc.split_pattern(batch.column(3), "\n")
+        line = batch.column(2).flatten()
+        text_of = np.repeat(np.arange(len(batch)), np.diff(batch.column(2).offsets.to_numpy()))
+        split = pc.split_pattern(parts.flatten(), " ")
+        words = split.flatten()
+        part_of = np.repeat(np.arange(len(line)), np.diff(split.offsets.to_numpy()))
+        slot = _slots(words, bits)
+        at = np.flatnonzero((sent.value[slot >> 6] >> (slot & 63)) & 1)
+        part = part_of[at]
+
+        def beside(step: int) -> pa.Array:
+            there = at + step
+            ok = (there >= 0) & (there < len(words))
+            ok[ok] = part_of[there[ok]] == part[ok]
+            return words.take(pa.array(np.where(ok, there, 0), mask=~ok))
+
+        row = pa.array(text_of[part])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), line.take(pa.array(part)), beside(-1), words.take(pa.array(at)), beside(1)], ["field", "id", "line", "before", "word", "after"])
 
-    return map_arrow(df, READ, work)
+    return map_arrow(read.filter("said <> ''").select("field", "id", "lines", "said"), "field string, id long, line int, before string, word string, after string", work)
 
 
 class Scans:
@@ -364,17 +478,15 @@ class Scans:
     in the lexicon.
     """
 
-    def __init__(self, texts: DataFrame, titles: DataFrame) -> None:
-        self.texts = texts
-        body = self.texts.filter("not margin and text is not null")
-        counted = written(count_words(body).filter("other is null or n >= %d" % TOGETHER), "words")
+    def __init__(self, texts: DataFrame, titles: DataFrame, filter_bits: int = FILTER_BITS, held: int = HELD) -> None:
+        self.texts, self.filter_bits = texts, filter_bits
+        read = written(_read(self.texts.select(*(c.split()[0] for c in SOURCE.split(", "))), held), "read")
+        counts = read.filter("n is not null").groupBy("word", "other").agg(F.sum("n").alias("n"))
+        counted = written(counts.filter("other is null or n >= %d" % TOGETHER), "words")
         self.words = counted.filter("other is null").select("word", "n")
         self.pairs = counted.filter("other is not null")
         self.fixes = written(corrections(self.words), "corrections")
-        known = None
-        if self.fixes.count() <= BROADCAST_CORRECTIONS:
-            known = frozenset(r.word for r in self.fixes.select("word").distinct().collect())
-        self.read = written(_read(self.texts, known), "read")
+        self.read = read.filter("n is null")
         self.headers = written(self._headers(titles), "headers")
         self.divided = written(self._divided(), "divided")
 
@@ -425,7 +537,7 @@ class Scans:
 
     def misread(self) -> DataFrame:
         """(field, id, line, word, good, cost): misread words outside headers, each with the correction that costs least and goes best with its neighbours."""
-        asked = self.read.select("field", "id", F.explode("words").alias("x")).select("field", "id", "x.*").join(self.fixes, "word")
+        asked = _asked(self.read, self.fixes, self.filter_bits).join(self.fixes, "word")
         asked = asked.join(self.headers, ["field", "id", "line"], "left_anti")
         halves = self.divided.filter("next is not null").select("field", F.col("next").alias("id"), F.col("b").alias("word"))
         asked = asked.join(halves, ["field", "id", "word"], "left_anti")

@@ -166,13 +166,12 @@ def test_known_headers_at_the_edges_of_a_text(spark):
     assert fixed[2] == "recorded before the frame was moved." and fixed[3] == "recorded before the frame was" and fixed[4] is None
 
 
-def test_short_misreadings_at_any_size_of_input(spark, monkeypatch):
+def test_short_misreadings_at_any_size_of_input(spark):
     rows = [("blocks.text", i, 1, i, 1, False, "la nave se conserva en la torre") for i in range(40)]
     rows += [("blocks.text", 100, 2, 1, 1, False, "la nave 5e conserva en la torre"), ("blocks.text", 101, 2, 2, 1, False, "la nave l6 conserva en la torre")]
     df, none = spark.createDataFrame(rows, scans.SOURCE), spark.createDataFrame([], "document_id long, form string")
-    for limit in (scans.BROADCAST_CORRECTIONS, -1):
-        monkeypatch.setattr(scans, "BROADCAST_CORRECTIONS", limit)
-        assert {(r.id, r.word, r.good) for r in scans.Scans(df, none).misread().collect()} == {(100, "5e", "se"), (101, "l6", "16")}
+    for bits in (scans.FILTER_BITS, 6):
+        assert {(r.id, r.word, r.good) for r in scans.Scans(df, none, bits).misread().collect()} == {(100, "5e", "se"), (101, "l6", "16")}
 
 
 def test_scans_of_nothing(spark):
@@ -217,3 +216,32 @@ def test_leak_search_against_brute_force():
         at = rng.randint(0, 40 - n)
         text = " ".join([*_passage(rng.randrange(100, 999), 30), *items.words[k][at : at + n], *_passage(rng.randrange(100, 999), 30)])
         assert {(i, run) for _, i, run, _ in items.search([text])} == ({(k, n)} if n >= lk.RUN_WORDS else set())
+
+
+def test_scans_with_a_full_filter_and_small_counts(spark):
+    """Neither the filter's size nor the words counted at a time changes a row."""
+    body = "the survey of the parish records was compared with the frame"
+    rows = [("blocks.text", i, 1, i, 1, False, body) for i in range(40)]
+    rows += [("blocks.text", 100, 2, 0, 1, False, "the frame of the parish stood for l9 years, and tbe rccords of tlie survey"), ("blocks.text", 101, 2, 0, 2, False, "a frame of 1o5 parts")]
+    df = spark.createDataFrame(rows, scans.SOURCE)
+    none = spark.createDataFrame([], "document_id long, form string")
+    found = []
+    for bits, held in ((23, 2_000_000), (6, 3)):
+        work = scans.Scans(df, none, bits, held)
+        found.append((sorted(tuple(r) for r in work.noise().collect()), sorted((r.id, r.word, r.good) for r in work.misread().collect())))
+    assert found[0] == found[1]
+    assert found[0][1] == [(100, "l9", "19"), (100, "rccords", "records"), (100, "tbe", "the"), (100, "tlie", "the"), (101, "1o5", "105")]
+
+
+def test_keys_meet_where_two_confusions_lead():
+    """Every word that at most two confusions make of a right word shares a key with it."""
+    rng = random.Random(5)
+    for good in ("for", "the", "nave", "frame", "modern", "über", "church", "parish", "archives", "mitte"):
+        for _ in range(60):
+            bad = good
+            for _ in range(2):
+                options = [(x, y, i) for x, y in scans.PAIRS for i in range(len(bad)) if bad.startswith(y, i)]
+                x, y, i = rng.choice(options)
+                bad = bad[:i] + x + bad[i + len(y) :]
+            if bad != good and abs(len(bad) - len(good)) <= 2 and len(good) < scans.SHORT and scans.misreading(bad, good) <= scans.MOST:
+                assert scans.good_keys(good) & scans.bad_keys(bad), (bad, good)
