@@ -260,7 +260,7 @@ def good_keys(word: str) -> set[str]:
 
 
 def bad_keys(word: str) -> set[str]:
-    """The keys of a word that may be misread: those of all right words that two confusions lead to."""
+    """The keys of a word that may be misread: those of all right words that two confusions lead to, or one where the right word has three letters or fewer, which two would make any word."""
     bare = bare_form(word)
     out = {k for k in deletes(bare, 2) if len(k) >= SHORT - 2}
     if len(bare) < SHORT + 2:
