@@ -31,6 +31,8 @@ NAMES = {
 }
 #: Buckets of the trigrams; centroids of a language; labelled documents of a language used for fitting (about).
 BUCKETS, CENTROIDS, SAMPLE = 4096, 3, 150
+#: Paragraphs of each of those documents that are used.
+SAMPLE_PARAGRAPHS = 4
 #: Characters vectorised at a time; the share of the least training similarity below which a paragraph is rejected.
 VECTOR_CHARS, REJECT = 250_000, 0.6
 #: Sharpness of the confidence.
@@ -139,7 +141,7 @@ def paragraphs(text: str) -> tuple[bool, list[tuple[str, int]]]:
 
 
 def train(df: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> Model:
-    """A model fitted on about `sample` labelled documents of each language, picked by a hash of their key."""
+    """A model fitted on about `sample` labelled documents of each language, picked by a hash of their key, and the first SAMPLE_PARAGRAPHS running paragraphs of each."""
     named = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), named_language(F.col(label)).alias("lang")).filter("lang is not null")
     sizes = dict(named.groupBy("lang").count().collect())  # a row for each language
     if not sizes:
@@ -148,7 +150,7 @@ def train(df: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE)
     part = (F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 11) / F.lit(float(1 << 53))) < share[F.col("lang")]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(lang, p) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, _ in paragraphs(t or "")[1][:4]]
+        rows = [(lang, p) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p, _ in paragraphs(t or "")[1][:SAMPLE_PARAGRAPHS]]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["lang", "text"])
 
     found = map_arrow(named.filter(part).select("lang", "text"), "lang string, text string", work)

@@ -2,9 +2,11 @@
 
 Method: each page's suffix automaton, over its words. A string of words that stands k times in a page holds only pairs of
 words that stand k times, so the automaton is built over the stretches of such pairs; as far as strings repeated k times go
-it is the automaton of the page. The characters covered by maximal repeated strings are then weighed with what lacks
-clauses: links, tags, price lists and rows of words without the small words that sentences need. Lists
-that scholars make - bibliographies, contents, indexes, tables - lack clauses too and are told apart by their lines.
+it is the automaton of the page. The characters covered by maximal repeated strings are weighed together with what lacks
+clauses: links, tags, price lists and rows of words that are no sentences. What a sentence is, is told by its shape - its
+length, how it ends, how many of its words begin small, how few commas it has - in any language; unpunctuated text counts too
+where the small words of a known language are dense in it. Lists that scholars make - bibliographies, contents, indexes,
+tables - lack clauses too and are told apart by their lines.
 """
 
 from __future__ import annotations
@@ -47,20 +49,26 @@ BLANK = re.compile(r"\n\s*\n")
 LINES = re.compile("[\r\n\x85\u2028\u2029]+")
 CELLS = re.compile(r"\t|\s{2,}|;|\|")
 
-#: Words of a paragraph that counts as running text.
-LEAST_WORDS = 20
-#: Shares of a page's characters; words with a function word among every so many.
-SPAM_SHARE, CLAUSE_SHARE, COVERED, DENSE_RATE = 0.5, 0.15, 0.42, 50
+SENTENCE_END = re.compile(r"(?<=[.?!…:。！？।؟։])[\"'»”’)\]]*\s+")
+#: Characters of scripts that write without blanks.
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
+#: Words of a paragraph that counts as running text; of a sentence.
+LEAST_WORDS, SENTENCE = 20, (5, 120)
+#: Share of a page's characters that lack clauses, or are covered by dense strings, from which on it is unwanted; share of small words that make clauses without punctuation.
+SPAM_SHARE, COVERED, SMALL_SHARE = 0.5, 0.42, 0.25
+#: Times that a repeated string stands; words for each time it stands if it is dense; share covered by repeated strings, dense or not, that no text has.
+REPEATED, DENSE_RATE, ALL_COVERED = 4, 50, 0.85
 
-def covered(words: list[str], least: int) -> int:
-    """Characters covered by the maximal strings of two words or more that stand at least `least` times in `words`."""
+
+def covered(words: list[str], *least: int) -> list[int]:
+    """Characters covered by the maximal strings of two words or more that stand at least so many times in `words`, for each of `least`, the smallest first."""
     n = len(words)
-    often = {w for w, k in Counter(words).items() if k >= least}
+    often = {w for w, k in Counter(words).items() if k >= least[0]}
     pairs = Counter(p for p in zip(words, words[1:], strict=False) if p[0] in often and p[1] in often)
-    strong = {p for p, k in pairs.items() if k >= least}
+    strong = {p for p, k in pairs.items() if k >= least[0]}
     if not strong:
-        return 0
+        return [0] * len(least)
     # The generalised suffix automaton of the stretches of such pairs.
     step: list[dict[str, int]] = [{}]
     link, length, times = [-1], [0], [0]
@@ -119,15 +127,36 @@ def covered(words: list[str], least: int) -> int:
     for s in reversed(order):
         if link[s] > 0:
             times[link[s]] += times[s]
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    return [_marked(sizes, least_, order, length, link, times, ends, states) for least_ in least]
+
+
+def _marked(sizes: np.ndarray, least: int, order: list[int], length: list[int], link: list[int], times: list[int], ends: list[int], states: list[int]) -> int:
     reach = [0] * len(length)
     for s in order:
         reach[s] = length[s] if times[s] >= least else reach[link[s]]
-    mark = np.zeros(n + 1, np.int64)
+    mark = np.zeros(len(sizes) + 1, np.int64)
     for e, s in zip(ends, states, strict=True):
         if (size := reach[s]) >= 2:
             mark[e - size + 1] += 1
             mark[e + 1] -= 1
-    return int(np.fromiter(map(len, words), np.int64, n)[np.cumsum(mark[:-1]) > 0].sum())
+    return int(sizes[np.cumsum(mark[:-1]) > 0].sum())
+
+
+def sentence_words(block: str) -> int:
+    """The words of a block that stand in what has the shape of a sentence."""
+    if block.isupper():
+        block = block.lower()
+    total = 0
+    for part in SENTENCE_END.split(block):
+        words = part.split()
+        n = len(words) if part.isascii() else len(words) + len(SPACELESS.findall(part)) // 2
+        if not SENTENCE[0] <= n <= SENTENCE[1] or part.rstrip("\"'»”’)] \r\n")[-1:] not in ".?!…:。！？।؟։":
+            continue
+        small = sum(w[0].isalpha() and not w[0].isupper() for w in words)
+        if 2 * small >= len(words) and 3 * sum(map(part.count, ",;|/")) <= n:
+            total += n
+    return total
 
 
 @dataclass
@@ -141,14 +170,16 @@ class Page:
     clauses: int = 0
     loose: int = 0
     repeated: int = 0
+    dense: int = 0
 
     @property
     def is_spam(self) -> bool:
-        """Most of the page is links, tags, or words without clauses; or a few strings, again and again, are most of it."""
-        if not self.chars:
+        """What lacks clauses and what dense strings cover are, together, most of the page; or repeated strings cover nearly all of it."""
+        if not self.chars or self.scholarly >= SPAM_SHARE * self.chars:
             return False
-        bad = self.links + self.tags + self.loose
-        return bad > SPAM_SHARE * self.chars or (self.repeated > COVERED * self.chars and self.scholarly < SPAM_SHARE * self.chars)
+        lacking = (self.links + self.tags + self.loose) / self.chars
+        rest = max(0.0, 1 - lacking - self.scholarly / self.chars)
+        return lacking / SPAM_SHARE + rest * self.dense / self.chars / COVERED > 1 or self.repeated > ALL_COVERED * self.chars
 
 
 def _scholarly(line: str) -> bool:
@@ -165,7 +196,7 @@ def _scholarly(line: str) -> bool:
 
 
 def read_page(text: str, running: list[list[str]] | None = None) -> Page:
-    """The kinds of a page's characters. `running` gets the words of each block of running sentences of at least LEAST_WORDS words."""
+    """The kinds of a page's characters. `running` gets the words of each block of clauses of at least LEAST_WORDS words."""
     page = Page()
     words: list[str] = []
     for block in BLANK.split(text):
@@ -175,9 +206,8 @@ def read_page(text: str, running: list[list[str]] | None = None) -> Page:
         total = sum(map(len, flat))
         page.chars += total
         words += flat
-        small = sum(map(FUNCTION.__contains__, flat))
         links = sum(len("".join(WORD.findall(x))) for x in LINK.findall(block)) if "://" in block or "www." in block or "/" in block else 0
-        if len(flat) >= 8 and small >= CLAUSE_SHARE * len(flat) and 2 * links < total:
+        if 2 * links < total and _has_clauses(block, flat):
             n_lines = 1 + block.count("\n")
             if 2 * len(CITED.findall(block)) > n_lines or 2 * sum(bool(PAGED.search(x)) for x in LISTED.findall(block)) > n_lines:
                 page.scholarly += total
@@ -196,22 +226,24 @@ def read_page(text: str, running: list[list[str]] | None = None) -> Page:
         page.tags += tags
         if len(flat) >= 12 or links or tags:
             page.loose += max(0, total - links - tags)
-    # The automaton is needed only where words that stand often enough could cover enough.
-    least = max(4, -(-len(words) // DENSE_RATE))
-    if sum(len(w) * k for w, k in Counter(words).items() if k >= least) > COVERED * page.chars:
-        page.repeated = covered(words, least)
+    page.repeated, page.dense = covered(words, REPEATED, max(REPEATED, -(-len(words) // DENSE_RATE)))
     return page
 
 
+def _has_clauses(block: str, words: list[str]) -> bool:
+    if 2 * sentence_words(block) >= len(block.split()):
+        return True
+    return len(words) >= 8 and sum(map(FUNCTION.__contains__, words)) >= SMALL_SHARE * len(words)
+
+
 def page_kinds(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Each row's key with the shares of its characters that are links, tags, scholarly lists, clauses, loose words, and
-    covered by strings that stand densely (four times at least, and once in every DENSE_RATE words), and `spam`. `repeated`
-    is 0 also where the words that stand so often could not cover the share COVERED.
+    """Each row's key with the shares of its characters that are links, tags, scholarly lists, clauses, loose words, covered
+    by strings that stand REPEATED times (`repeated`) and also once in every DENSE_RATE words (`dense`), and `spam`.
 
     A null, empty or blank text has no characters, shares of 0 and is no spam. Repeated rows stay repeated; other columns
     are left out.
     """
-    names = ["links", "tags", "scholarly", "clauses", "loose", "repeated"]
+    names = ["links", "tags", "scholarly", "clauses", "loose", "repeated", "dense"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         pages = [read_page(t or "") for t in batch.column(1).to_pylist()]

@@ -71,6 +71,10 @@ def test_languages(spark):
     got = sorted(tuple(r) for r in label_errors(found, docs, runs).collect())
     assert got == [("documents.language", 2, "fr"), ("documents.language", 7, "es"), ("language_results.is_multilingual", 11, "de"), ("language_results.primary_lang", 12, "de")]
     assert languages(df.limit(0), "doc_id", "text", fit([])).count() == 0
+    # A language that the model doesn't know is rejected by its distance, not left out before.
+    other = "Kościół parafialny został zbudowany w roku tysiąc osiemset dwunastym przez cieśli, którzy pracowali pod kierunkiem mistrza z sąsiedniej wsi i zostawili po sobie rysunki."
+    row = languages(spark.createDataFrame([(1, other)], "doc_id long, text string"), "doc_id", "text", model).first()
+    assert not row.spam and row.lang is None and [s.lang for s in row.segments] == [None]
 
 
 def test_covered_against_brute_force():
@@ -88,7 +92,8 @@ def test_covered_against_brute_force():
                     if len(starts) >= least:
                         for i in starts:
                             mark[i : i + size] = [True] * size
-            assert covered(words, least) == sum(len(w) for w, m in zip(words, mark, strict=True) if m)
+            assert covered(words, least)[0] == sum(len(w) for w, m in zip(words, mark, strict=True) if m)
+            assert covered(words, 2, least)[1] == covered(words, least)[0]
 
 
 @pytest.mark.parametrize(
@@ -105,6 +110,13 @@ def test_covered_against_brute_force():
         ("\n".join(f"Place{i}\t{1600 + i}\t{i}.5\t{i}.7" for i in range(15)), False),
         ("\n".join(f"On the nave of Place{i} ........ {i}" for i in range(15)), False),
         ("", False),
+        ("Kościół parafialny został zbudowany w roku tysiąc osiemset dwunastym przez cieśli, którzy pracowali pod kierunkiem mistrza z sąsiedniej wsi i zostawili po sobie rysunki.", False),
+        ("Церковь была построена в начале девятнадцатого века плотниками из соседней деревни, которые оставили после себя чертежи и записи о ходе работ.", False),
+        ("Kyrkan byggdes i början av artonhundratalet av timmermän från grannbyn, som lämnade efter sig ritningar och anteckningar om arbetets gång.", False),
+        ("Η εκκλησία χτίστηκε στις αρχές του δέκατου ένατου αιώνα από ξυλουργούς του γειτονικού χωριού, οι οποίοι άφησαν σχέδια και σημειώσεις.", False),
+        ("教会は十九世紀の初めに隣の村の大工によって建てられた。屋根は数年後に修理が必要になった。", False),
+        # Eighty slogans, eight times each on a page of five thousand words: no string is dense, all are repeated.
+        (". ".join(" ".join(f"{w}{k % 80}" if j % 3 else w for j, w in enumerate("the best of oak and beam for you".split())) for k in range(640)) + ".", True),
     ],
 )
 def test_pages(text, spam):
