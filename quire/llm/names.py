@@ -1,8 +1,8 @@
 """Variant spellings of the names of persons and organisations.
 
 Method: a name is a bag of words in one form. Its character trigrams, weighted by their rarity, make a sparse vector; all pairs
-of vectors with a cosine of at least COSINE are found by a join on the rarest trigrams of each (those without which the rest
-could not reach the threshold). A pair whose words contradict each other - other given names, other initials, other places -
+of vectors with a cosine of at least COSINE that can name the same are found by a join on the rarest trigrams of each (those without which the rest
+could not reach the threshold), each together with how another word of the name begins. A pair whose words contradict each other - other given names, other initials, other places -
 has a similarity of 0; the others are grouped by average linkage, computed by merging clusters that are each other's nearest,
 round by round, in joins, so that no family of names is ever gathered in one task.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import written
+from quire.session import dropped, written
 
 from .arrow import map_arrow
 from .lookalike import same_look
@@ -180,8 +180,25 @@ def _features(words: list[str]) -> list[str]:
     return out
 
 
+def _companions(words: list[str], own: int) -> set[str]:
+    """How a word besides the one at `own` may begin in another spelling: its first letter, and those of the names it is short for."""
+    out = set()
+    for i, w in enumerate(words):
+        if i != own:
+            w = w.rstrip("~")
+            out.add(_digraphs(w)[:1])
+            out.update(full[:1] for full in _nicknames().get(w, ()))
+    return out
+
+
 def similar_pairs(keys: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """(a, b, cosine), a < b, of all names (`id`, `words`) whose weighted trigram vectors have a cosine of at least `threshold`."""
+    """(a, b, cosine), a < b, of the names (`id`, `words`) whose weighted trigram vectors have a cosine of at least `threshold`,
+    and that can name the same: they share a trigram of a word of four letters or more and the beginning of another word.
+
+    Trigrams are looked up together with how another word begins, since that is what `agreement` asks for too; so a trigram
+    that many names have brings only those together that have the other word's letter as well. Of each name the rarest
+    trigrams are looked up, without which the rest could not reach the threshold.
+    """
 
     def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [sorted({x: 0 for x in _features(ws)}) for ws in batch.column(1).to_pylist()]
@@ -191,30 +208,47 @@ def similar_pairs(keys: DataFrame, threshold: float = COSINE) -> DataFrame:
     n = keys.count()
     features = map_arrow(keys.select("id", "words"), "id long, feature string", explode)
     df = features.groupBy("feature").agg(F.count("*").alias("df"))
-    weighted = features.join(df, "feature").select("id", F.xxhash64("feature").alias("f"), F.pow(F.log(F.lit(float(n + SMOOTH)) / F.col("df")), SHARPNESS).alias("w"))
-    # A vector: its features from the rarest on, of length 1.
-    vectors = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("w"), F.col("f"))), asc=False).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighted = features.join(df, "feature").select("id", "feature", F.pow(F.log(F.lit(float(n + SMOOTH)) / F.col("df")), SHARPNESS).alias("w"))
+    # A vector: its features from the rarest on.
+    gathered = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("w"), F.col("feature"))), asc=False).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
     def prefix(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, vs, norms = (batch.column(i).to_pylist() for i in range(3))
-        out = []
-        for k, v, norm in zip(ids, vs, norms, strict=True):
-            left = norm * norm
+        ids, words, vs, norms = (batch.column(i).to_pylist() for i in range(4))
+        out = set()
+        for k, ws, v, norm in zip(ids, words, vs, norms, strict=True):
+            left, head = norm * norm, set()
             for x in v:
                 # What is left cannot reach the threshold alone.
                 if left < (threshold * norm) ** 2:
                     break
-                out.append((k, x["f"]))
+                head.add(x["feature"])
                 left -= x["w"] ** 2
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["id", "f"])
-
-    vectors = written(vectors, "vectors")
-    heads = map_arrow(vectors, "id long, f long", prefix)
+            for i, w in enumerate(ws):
+                if len(w.rstrip("~")) >= 4:
+                    beside = _companions(ws, i)
+                    out.update((k, f, c) for f in _features([w]) if f in head for c in beside)
+        rows = list(out)
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in rows], pa.int64()), pa.array([o[1] for o in rows], pa.string()), pa.array([o[2] for o in rows], pa.string())], ["id", "feature", "beside"])
+
+    vectors = written(gathered.join(keys.select("id", "words"), "id").select("id", "words", "v", "norm"), "vectors")
+    heads = map_arrow(vectors, "id long, feature string, beside string", prefix).select("id", F.xxhash64("feature", "beside").alias("f"))
     pairs = heads.select(F.col("id").alias("a"), "f").join(heads.select(F.col("id").alias("b"), "f"), "f").filter("a < b").select("a", "b").distinct()
-    side = lambda x: vectors.select(F.col("id").alias(x), F.map_from_entries(F.transform("v", lambda e: F.struct(e["f"], e["w"]))).alias(f"m{x}"), F.col("norm").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    dot = F.aggregate(F.map_keys("ma"), F.lit(0.0), lambda s, k: s + F.col("ma")[k] * F.coalesce(F.col("mb")[k], F.lit(0.0)))
-    return both.select("a", "b", (dot / (F.col("na") * F.col("nb"))).alias("cosine")).filter(F.col("cosine") >= threshold)
+    side = lambda x: vectors.select(F.col("id").alias(x), F.transform("v", lambda e: F.xxhash64(e["feature"])).alias(f"f{x}"), F.transform("v", lambda e: e["w"] / F.col("norm")).alias(f"w{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fa", "wa", "fb", "wb")
+
+    def multiply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fa, wa, fb, wb = (batch.column(i) for i in range(2, 6))
+        _, code = np.unique(np.concatenate([x.flatten().to_numpy() for x in (fa, fb)]), return_inverse=True)
+        rows = [np.repeat(np.arange(len(batch)), np.diff(x.offsets.to_numpy())) for x in (fa, fb)]
+        width = int(code.max(initial=0)) + 1
+        left = rows[0] * width + code[: len(rows[0])]
+        right = rows[1] * width + code[len(rows[0]) :]
+        _, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+        dot = np.bincount(rows[0][i], wa.flatten().to_numpy()[i] * wb.flatten().to_numpy()[j], len(batch))
+        keep = pa.array(np.flatnonzero(dot >= threshold))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(dot).take(keep)], ["a", "b", "cosine"])
+
+    return map_arrow(both, "a long, b long, cosine double", multiply)
 
 
 def average_linkage(edges: DataFrame, threshold: float) -> DataFrame:
@@ -225,7 +259,7 @@ def average_linkage(edges: DataFrame, threshold: float) -> DataFrame:
     row.
     """
     now = written(edges.select("a", "b", F.col("s").alias("total"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")), "edges")
-    members = None
+    members = before = None
     while True:
         near = now.withColumn("sim", F.col("total") / (F.col("na") * F.col("nb"))).filter(F.col("sim") >= threshold)
         rank = F.struct("sim", -F.col("a"), -F.col("b"))
@@ -233,6 +267,7 @@ def average_linkage(edges: DataFrame, threshold: float) -> DataFrame:
         best = ends.groupBy("c").agg(F.max_by(F.struct("a", "b", "na", "nb"), "rank").alias("e"))
         merged = written(best.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e.a", "e.b", (F.col("e.na") + F.col("e.nb")).alias("size")), "merged")
         if merged.isEmpty():
+            dropped(merged)
             break
         moved = merged.select(F.col("a").alias("old"), F.col("a").alias("new"), "size").union(merged.select("b", "a", "size"))
         if members is None:
@@ -241,13 +276,17 @@ def average_linkage(edges: DataFrame, threshold: float) -> DataFrame:
             kept = members.join(moved, members.cluster == moved.old, "left").select("node", F.coalesce("new", "cluster").alias("cluster"))
             fresh = moved.join(members, moved.old == members.cluster, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("cluster"))
             members = kept.union(fresh)
-        members = written(members, "members")
+        members, old = written(members, "members"), before
+        dropped(old)
+        before = members
         left = moved.select(F.col("old").alias("a"), F.col("new").alias("a2"), F.col("size").alias("sa"))
         right = moved.select(F.col("old").alias("b"), F.col("new").alias("b2"), F.col("size").alias("sb"))
         changed = now.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "total", F.coalesce("sa", "na").alias("na"), F.coalesce("sb", "nb").alias("nb")).filter("a <> b")
         swap = F.col("a") > F.col("b")
         turned = changed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-        now = written(turned.groupBy("a", "b").agg(F.sum("total").alias("total"), F.max("na").alias("na"), F.max("nb").alias("nb")), "edges")
+        fresh_edges = written(turned.groupBy("a", "b").agg(F.sum("total").alias("total"), F.max("na").alias("na"), F.max("nb").alias("nb")), "edges")
+        dropped(now, merged)
+        now = fresh_edges
     return members if members is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("cluster")).limit(0)
 
 
