@@ -1,8 +1,8 @@
 """References linked to the records of another source that has no key in common with them.
 
 Method: the character pairs of a record's attributes are set as bits of a vector of fixed length. Two titles that differ
-in fewer bits than their vectors have words agree in at least one of the words, so that joining on each word in turn and counting
-the differing bits finds all close pairs exactly; for references without any, a second index over title, first author and year
+in at most r bits agree in at least two of r + 2 parts of their vectors, so that joining on every two parts and counting the
+differing bits finds all close pairs exactly; for references without any, a second index over title, first author and year
 together allows more differences. The pairs' Dice scores by attribute are weighted, which ranks the candidates of a reference, and turned into confidences by
 fitting their levels of agreement as a mixture of matches and others.
 
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,10 @@ from .arrow import code_points, map_arrow
 from .lookalike import same_look
 from .names import SMALL, TITLES, plain
 
-#: 64-bit words of the title's vector, and of the vector of title, author and year; the radius of each is its words less one.
+#: 64-bit words of the title's vector, of the vector of title, author and year, and of that of the authors; the radius of the first two is their words less one.
 TITLE_WORDS, RECORD_WORDS, AUTHOR_WORDS = 8, 16, 4
-#: The filter of the words that can meet has 2 ** FILTER_BITS places.
-FILTER_BITS = 23
+#: The filter of the parts that can meet has 2 ** FILTER_BITS places.
+FILTER_BITS = 25
 #: Weights of title, authors and year; the least confidence of a link.
 WEIGHTS, CONFIDENT = (0.6, 0.25, 0.15), 0.5
 #: Least title score of a pair that is looked at.
@@ -55,11 +56,19 @@ def _fold(text: str) -> str:
     return " ".join(re.findall(r"[^\W_]+", plain(text)))
 
 
-def marks(text: str, title: str) -> str:
-    """The parts and editions that a folded text names, and the volume that a folded title names."""
-    number = lambda m: _NUMBERS.get(m.replace("l", "i").replace("1", "i"), m)
+def _number(m: str) -> str:
+    return _NUMBERS.get(m.replace("l", "i").replace("1", "i"), m)
+
+
+def text_marks(text: str) -> set[str]:
+    """The parts and editions that a folded text names."""
     nth = lambda m: m if m.isdigit() else "3" if m[:2] in ("th", "dr", "te", "de") and not m.startswith("deu") or m.startswith("tro") else "2"
-    return " ".join(sorted({"p" + number(m) for m in PART.findall(text)} | {"e" + nth(m) for m in EDITION.findall(text)} | {"v" + number(m) for m in VOLUME.findall(title)}))
+    return {"p" + _number(m) for m in PART.findall(text)} | {"e" + nth(m) for m in EDITION.findall(text)}
+
+
+def marks(text: str, title: str, named: set[str] | None = None) -> str:
+    """The parts and editions that a folded text names (`named`, if they are known), and the volume that a folded title names."""
+    return " ".join(sorted((text_marks(text) if named is None else named) | {"v" + _number(m) for m in VOLUME.findall(title)}))
 
 
 def title_candidates(raw: str, title: str | None) -> list[str]:
@@ -135,50 +144,77 @@ def _words(column: pa.Array, words: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), words)
 
 
-def _slots(v: np.ndarray) -> np.ndarray:
-    """The place in the filter of each word of the vectors."""
-    h = v.view(np.uint64) ^ (np.arange(1, v.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _parts(v: np.ndarray, radius: int) -> np.ndarray:
+    """The keys of each vector: a hash of every two of its radius + 2 parts.
+
+    Of so many parts two at least are equal in vectors that differ in at most `radius` bits; a single part of a short title
+    holds a bit or none and is shared by many, two together are not.
+    """
+    bits_ = v.shape[1] * 64
+    edges = np.linspace(0, bits_, radius + 3).astype(np.int64)
+    flat = np.unpackbits(np.ascontiguousarray(v).view(np.uint8), axis=1)
+    parts = np.zeros((len(v), radius + 2), np.uint64)
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        whole = np.zeros((len(v), 8), np.uint8)
+        packed = np.packbits(flat[:, low:high], axis=1)
+        whole[:, : packed.shape[1]] = packed
+        parts[:, k] = whole.view(np.uint64)[:, 0]
+    one, two = np.triu_indices(radius + 2, 1)
+    salt = (np.arange(1, len(one) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    h = (parts[:, one] ^ salt) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    h = (h + parts[:, two]) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _filter(df: DataFrame, words: int) -> np.ndarray:
-    """A bit for the place of every word of the vectors of `df`, as 64-bit words; other words may share a place."""
+def _places(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(df: DataFrame) -> np.ndarray:
+    """A bit for the place of every `part` of `df`, as 64-bit words; other parts may share a place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            seen[_slots(_words(batch.column(0), words))] = True
+            seen[_places(batch.column(0).to_numpy().view(np.uint64))] = True
         masks = np.packbits(seen, bitorder="little").view(np.int64)
         block = np.flatnonzero(masks)
         yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(masks[block])], ["block", "mask"])
 
     out = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    found = df.select("v").mapInArrow(run, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
+    found = df.select("part").mapInArrow(run, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most 2 ** (FILTER_BITS - 6) rows
     out[found["block"].to_numpy()] = found["mask"].to_numpy()
     return out
 
 
-def close_pairs(left: DataFrame, right: DataFrame, words: int) -> DataFrame:
-    """(l, r) for all rows of `left` and `right` (`key`, `v` of `words` integers) whose vectors differ in fewer than `words` bits.
+def close_pairs(left: DataFrame, right: DataFrame, words: int, radius: int | None = None) -> DataFrame:
+    """(l, r) for all rows of `left` and `right` (`key`, `v` of `words` integers, distinct) whose vectors differ in at most `radius` bits (one less than `words`, if it is not given).
 
-    Words of `left` that a filter of fixed size shows to stand nowhere in `right` are left out of the join.
+    Parts of `left` that a filter of fixed size shows to stand nowhere in `right` are left out of the join; the vectors are
+    fetched for the pairs that meet.
     """
-    sent = left.sparkSession.sparkContext.broadcast(_filter(right, words))
-
-    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v = _words(batch.column(1), words)
-        slot = _slots(v)
-        row, at = np.nonzero((sent.value[slot >> 6] >> (slot & 63)) & 1)
-        taken = v[row]
-        lists = pa.ListArray.from_arrays(np.arange(0, taken.size + 1, words, dtype=np.int32), pa.array(taken.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists, pa.array(at.astype(np.int32)), pa.array(v[row, at])], ["l", "lv", "at", "word"])
-
-    a = map_arrow(left.select("key", "v"), "l long, lv array<long>, at int, word long", look)
-    b = right.select(F.col("key").alias("r"), F.col("v").alias("rv"), F.posexplode("v").alias("at", "word"))
+
+    radius = words - 1 if radius is None else radius
+
+    def keyed(df: DataFrame, mask: Broadcast[np.ndarray] | None) -> DataFrame:
+        def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            v = _words(batch.column(1), words)
+            for start in range(0, len(v), 4096):
+                keys = _parts(v[start : start + 4096], radius)
+                place = _places(keys)
+                row, at = np.nonzero((mask.value[place >> 6] >> (place & 63)) & 1) if mask else np.divmod(np.arange(keys.size), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + start)), pa.array(keys[row, at].view(np.int64))], ["key", "part"])
+
+        return map_arrow(df.select("key", "v"), "key long, part long", look)
+
+    ours = written(keyed(right, None), "parts")
+    sent = left.sparkSession.sparkContext.broadcast(_filter(ours))
+    met = keyed(left, sent).select(F.col("key").alias("l"), "part").join(ours.select(F.col("key").alias("r"), "part"), "part").select("l", "r").distinct()
+    both = met.join(left.select(F.col("key").alias("l"), F.col("v").alias("lv")), "l").join(right.select(F.col("key").alias("r"), F.col("v").alias("rv")), "r")
     differ = sum((F.bit_count(F.col("lv")[i].bitwiseXOR(F.col("rv")[i])) for i in range(1, words)), F.bit_count(F.col("lv")[0].bitwiseXOR(F.col("rv")[0])))
-    return a.join(b, ["at", "word"]).filter(differ < words).select("l", "r").distinct()
+    return both.filter(differ <= radius).select("l", "r")
 
 
 def _vectors(df: DataFrame, words: int) -> DataFrame:
@@ -207,7 +243,8 @@ def _references(df: DataFrame) -> DataFrame:
             given = [t for t in dict.fromkeys(map(_fold, title_candidates(raw, title))) if len(t) >= 8]
             whole = _fold(raw)
             first = surname(named[0]) if named else surname(re.split(r"[;&]|\band\b|\bund\b|,\s+(?=\S+\s+\S)|[.:(\"/]\s", re.sub(r"^\s*(?:\[\d+\]|\d+\.)\s*", "", raw))[0])
-            out += [(k, t, first, found[0] if found else "", sorted(set(found)), people, marks(whole, t)) for t in given]
+            named_marks, all_years = text_marks(whole), sorted(set(found))
+            out += [(k, t, first, found[0] if found else "", all_years, people, marks(whole, t, named_marks)) for t in given]
         types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [f.split()[0] for f in READ.split(", ")])
 
@@ -300,7 +337,8 @@ def links(references: DataFrame, works: DataFrame) -> DataFrame:
     titles = lambda df: df.select(F.xxhash64("title").alias("key"), "title", F.lit("").alias("name"), F.lit("").alias("year")).distinct()
     record_key = F.xxhash64("title", "name", "year")
     records = lambda df: df.filter("name <> '' or year <> ''").select(record_key.alias("key"), "title", "name", "year").distinct()
-    by_title = close_pairs(_vectors(titles(refs), TITLE_WORDS), _vectors(titles(own), TITLE_WORDS), TITLE_WORDS)
+    close = lambda a, b, words: close_pairs(written(_vectors(a, words), "vectors"), written(_vectors(b, words), "vectors"), words)
+    by_title = close(titles(refs), titles(own), TITLE_WORDS)
     left = refs.select(F.col("id").alias("ref_id"), F.col("title").alias("lt"), F.xxhash64("title").alias("lh"), record_key.alias("lk"), F.col("authors").alias("la"), F.col("years").alias("ly"), F.col("marks").alias("lm"))
     right = own.select(F.col("id").alias("work_id"), F.col("title").alias("rt"), F.xxhash64("title").alias("rh"), record_key.alias("rk"), F.col("authors").alias("ra"), F.col("years").alias("ry"), F.col("marks").alias("rm"))
     columns = ["ref_id", "work_id", "lt", "rt", "la", "ra", "ly", "ry", "lm", "rm"]
@@ -308,7 +346,7 @@ def links(references: DataFrame, works: DataFrame) -> DataFrame:
     found = written(scores(left.join(by_title, left.lh == by_title.l).join(right, right.rh == by_title.r)), "found")
     # The index of whole records is for the references that their titles alone bring to no record of their part and edition.
     rest = refs.join(found.select(F.col("ref_id").alias("id")).distinct(), "id", "left_anti")
-    by_record = close_pairs(_vectors(records(rest), RECORD_WORDS), _vectors(records(own), RECORD_WORDS), RECORD_WORDS)
+    by_record = close(records(rest), records(own), RECORD_WORDS)
     scored = found.union(scores(left.join(by_record, left.lk == by_record.l).join(right, right.rk == by_record.r)))
     level = lambda f: F.coalesce(*(F.when(F.col(f) >= x, F.lit(i)) for i, x in enumerate(LEVELS[f])))
     scored = scored.groupBy("ref_id", "work_id").agg(F.max_by(F.struct("score", "title", "author", "year"), "score").alias("s")).select("ref_id", "work_id", "s.*")

@@ -10,6 +10,7 @@ round by round, in joins, so that no family of names is ever gathered in one tas
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -65,7 +66,12 @@ def plain(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFD", text.lower().replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("ł", "l").replace("œ", "oe"))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return text.translate(_combining())
+
+
+@lru_cache(1)
+def _combining() -> dict[int, None]:
+    return {c: None for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))}
 
 
 #: An acronym, and where it is explained.
