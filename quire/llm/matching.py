@@ -202,16 +202,19 @@ def close_pairs(left: DataFrame, right: DataFrame, words: int, radius: int | Non
         def look(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             v = _words(batch.column(1), words)
             for start in range(0, len(v), 4096):
-                keys = _parts(v[start : start + 4096], radius)
+                some = v[start : start + 4096]
+                keys, fold = _parts(some, radius), np.bitwise_xor.reduce(some, axis=1)
                 place = _places(keys)
                 row, at = np.nonzero((mask.value[place >> 6] >> (place & 63)) & 1) if mask else np.divmod(np.arange(keys.size), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + start)), pa.array(keys[row, at].view(np.int64))], ["key", "part"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + start)), pa.array(keys[row, at].view(np.int64)), pa.array(fold[row])], ["key", "part", "fold"])
 
-        return map_arrow(df.select("key", "v"), "key long, part long", look)
+        return map_arrow(df.select("key", "v"), "key long, part long, fold long", look)
 
     ours = written(keyed(right, None), "parts")
     sent = left.sparkSession.sparkContext.broadcast(_filter(ours))
-    met = keyed(left, sent).select(F.col("key").alias("l"), "part").join(ours.select(F.col("key").alias("r"), "part"), "part").select("l", "r").distinct()
+    # The words of a vector folded into one differ in no more bits than the vectors.
+    met = keyed(left, sent).select(F.col("key").alias("l"), "part", F.col("fold").alias("lf")).join(ours.select(F.col("key").alias("r"), "part", F.col("fold").alias("rf")), "part")
+    met = met.filter(F.bit_count(F.col("lf").bitwiseXOR(F.col("rf"))) <= radius).select("l", "r").distinct()
     both = met.join(left.select(F.col("key").alias("l"), F.col("v").alias("lv")), "l").join(right.select(F.col("key").alias("r"), F.col("v").alias("rv")), "r")
     differ = sum((F.bit_count(F.col("lv")[i].bitwiseXOR(F.col("rv")[i])) for i in range(1, words)), F.bit_count(F.col("lv")[0].bitwiseXOR(F.col("rv")[0])))
     return both.filter(differ <= radius).select("l", "r")
