@@ -7,6 +7,7 @@ limit and with room to spill. Before the terms leave a task they are added up th
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import uuid
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 from quire.session import shared_dir, written
 
-#: Bits of the first split, bits of the finest, rows aimed at in a leaf.
-FIRST_BITS, FINEST_BITS, LEAF_ROWS = 4, 12, 2_000_000
-#: Memory of one DuckDB instance.
-MEMORY = "160MB"
-#: Terms a task holds while adding up what it reads.
-COMBINED = 500_000
+#: Bits of the first split, least bits of the finest; bytes aimed at in a leaf, which DuckDB can add up in its memory.
+FIRST_BITS, FINEST_BITS, LEAF_BYTES = 4, 12, 64_000_000
+#: Memory of one DuckDB instance; bytes that a row takes besides its term.
+MEMORY, ROW_BYTES = "160MB", 48
+#: Terms, and bytes, that a task holds while adding up what it reads.
+COMBINED, COMBINED_BYTES = 500_000, 32_000_000
 
 
 def leaves(rows: np.ndarray, bits: int, first: int, most: int) -> np.ndarray:
@@ -70,17 +71,18 @@ def _combiner(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             return con.sql("select field, term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from rows group by all").to_arrow_table().cast(held[0].schema)
 
         held: list[pa.RecordBatch] = []
-        n = 0
+        n = size = 0
         try:
             for batch in batches:
                 held.append(batch)
                 n += batch.num_rows
-                if n >= COMBINED:
+                size += batch.nbytes
+                if n >= COMBINED or size >= COMBINED_BYTES:
                     table = added(held)
-                    held, n = table.to_batches(), table.num_rows
-                    if n > COMBINED // 2:
+                    held, n, size = table.to_batches(), table.num_rows, table.nbytes
+                    if n > COMBINED // 2 or size > COMBINED_BYTES // 2:
                         yield from held
-                        held, n = [], 0
+                        held, n, size = [], 0, 0
             if held:
                 yield from added(held).to_batches()
         finally:
@@ -89,7 +91,7 @@ def _combiner(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def term_frequency(df: DataFrame, fields: dict[str, Column], rare: int = 2, common: float = 0.1) -> DataFrame:
+def term_frequency(df: DataFrame, fields: dict[str, Column], rare: int = 2, common: float = 0.1, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
     """Every distinct term of each field with its occurrences and the records that hold it.
 
     `df` has one row for each record; each of `fields` is an array of terms. Returns `field`, `term`, `occurrences`,
@@ -99,22 +101,29 @@ def term_frequency(df: DataFrame, fields: dict[str, Column], rare: int = 2, comm
     """
     spark = df.sparkSession
     folder = shared_dir(spark).removeprefix("file://")
-    folder = folder if folder.startswith("/") else ""  # DuckDB spills to a path only; elsewhere a leaf has to fit its memory
+    folder = folder if folder.startswith("/") else ""  # DuckDB can spill to a path only; a leaf fits its memory anyway
     schema = "field string, term string, occurrences long, records long"
     parts = F.array(*(F.struct(F.lit(name).alias("field"), F.filter(terms, lambda x: x.isNotNull()).alias("terms")) for name, terms in fields.items()))
     lists = df.select(F.explode(parts).alias("p")).select("p.field", "p.terms").filter(F.size("terms") > 0)
     held = lists.select("field", "terms", F.explode(F.array_distinct("terms")).alias("term"))
     # The occurrences in a record are its length less the length without the term.
     counted = held.select("field", "term", (F.size("terms") - F.size(F.array_remove("terms", F.col("term")))).cast("long").alias("occurrences"), F.lit(1).cast("long").alias("records"))
-    prefix = F.shiftrightunsigned(F.xxhash64("field", "term"), 64 - FINEST_BITS).cast("int")
-    spilled = counted.mapInArrow(_combiner(folder), schema).withColumn("prefix", prefix).withColumn("radix", F.shiftright("prefix", FINEST_BITS - FIRST_BITS))
-    spilled = written(spilled.repartition("radix").sortWithinPartitions("prefix"), "radix", ["radix"])
-    rows = np.zeros(1 << FINEST_BITS, np.int64)
-    for prefix_, n in spilled.groupBy("prefix").count().collect():  # at most 2 ** FINEST_BITS rows
-        rows[prefix_] = n
-    leaf = leaves(rows, FINEST_BITS, FIRST_BITS, LEAF_ROWS)
+    bits = lambda n: F.shiftrightunsigned(F.xxhash64("field", "term"), 64 - n).cast("int")
+    spilled = counted.mapInArrow(_combiner(folder), schema).withColumn("radix", bits(FIRST_BITS))
+    # The rows of a radix are written by several tasks, so that more than 2 ** FIRST_BITS work; what they hold of a term is added up later.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("term", F.lit("salt")), F.lit(max(1, -(-tasks // (1 << FIRST_BITS)))))
+    spilled = written(spilled.repartition(tasks, "radix", salt).sortWithinPartitions("radix"), "radix", ["radix"])
+    size = F.octet_length("term") + ROW_BYTES
+    total = spilled.agg(F.sum(size)).first()[0] or 0
+    finest = max(FINEST_BITS, math.ceil(math.log2(max(1.0, total / leaf_bytes))) + 2)
+    weight = np.zeros(1 << finest, np.int64)
+    for prefix, n in spilled.groupBy(bits(finest)).agg(F.sum(size)).collect():  # four rows for each leaf, or 2 ** FINEST_BITS
+        weight[prefix] = n
+    leaf = leaves(weight, finest, FIRST_BITS, leaf_bytes)
     n_leaves = int(leaf.max()) + 1
-    placed = spilled.withColumn("leaf", F.element_at(F.lit(leaf.tolist()), F.col("prefix") + 1)).drop("prefix", "radix")
+    which = spark.createDataFrame(pa.table({"prefix": np.arange(1 << finest, dtype=np.int32), "leaf": leaf.astype(np.int32)}))
+    placed = spilled.withColumn("prefix", bits(finest)).join(which, "prefix").drop("prefix", "radix")
 
     def aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, close = _connect(folder)

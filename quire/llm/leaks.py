@@ -7,13 +7,14 @@ are counted on single diagonals and in overlapping bands of diagonals; regions w
 are kept and verified, by comparing along the diagonal and by banded alignment of words.
 
 Of the document's q-grams every STEP-th is looked up. A run of n q-grams holds at least n // STEP of those, so that the
-bounds are divided by STEP and the filter stays exact. The evaluation texts are worked through in blocks of bounded size.
+bounds are divided by STEP. Where a short passage leaves no bound above zero, one shared q-gram is asked for: a passage with
+replaced words is then found if Q + STEP - 1 letters between two of them stayed. The evaluation texts, a given query set, pass
+through the driver in blocks of bounded size; the documents are read once for each block and never moved.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import written
+
 from .arrow import code_points, map_arrow, ragged, slices
 
 #: Length of the q-grams, step of those looked up, width of a band of diagonals.
@@ -47,21 +50,44 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(re.sub("(?<=[^\\W\\d_])[-\u00ad\u00ac\u2010][ \\t]*[\\r\\n]+\\s*(?=[^\\W\\d_])", "", text).lower())
 
 
-def passages(texts: list[str]) -> list[list[str]]:
-    """The words of each item's passage: without a first sentence that other items share, and without a last question whose frame other items share."""
-    parts = [[s for s in _SENTENCE.split(t.strip()) if _words(s)] for t in texts]
-    first = Counter(" ".join(_words(p[0])) for p in parts if len(p) > 1)
+def _sentences(text: str) -> list[str]:
+    return [s for s in _SENTENCE.split(text.strip()) if _words(s)]
+
+
+def _ends(text: str) -> tuple[str, str]:
+    """An item's first sentence and the frame of its last question, if it has several sentences; else empty."""
+    parts = _sentences(text)
+    if len(parts) < 2:
+        return "", ""
+    return " ".join(_words(parts[0])), " ".join(_words(parts[-1])[:3]) if parts[-1].rstrip().endswith("?") else ""
+
+
+def _passage(text: str, instruction: bool, question: bool) -> str:
+    """The words of an item without its instruction and question."""
+    parts = _sentences(text)
+    start = int(instruction and len(parts) > 1)
+    stop = len(parts) - 1 if question and len(parts) - start > 1 else len(parts)
+    return " ".join(w for s in parts[start:stop] for w in _words(s))
+
+
+def passages(items: DataFrame) -> DataFrame:
+    """(id, passage) of `items` (id, text): each without a first sentence that SHARED items have in common, and without a last question whose frame they have in common, counted over all items."""
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ends = [_ends(t) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([e[i] for e in ends], pa.string()) for i in (0, 1))], ["id", "text", "first", "frame"])
 
-    def frame(p: list[str]) -> str:
-        return " ".join(_words(p[-1])[:3]) if len(p) > 1 and p[-1].rstrip().endswith("?") else ""
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rest = [_passage(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rest, pa.string())], ["id", "passage"])
 
-    last = Counter(map(frame, parts))
-    out = []
-    for p in parts:
-        start = 1 if len(p) > 1 and first[" ".join(_words(p[0]))] >= SHARED else 0
-        stop = len(p) - 1 if len(p) - start > 1 and frame(p) and last[frame(p)] >= SHARED else len(p)
-        out.append([w for s in p[start:stop] for w in _words(s)])
-    return out
+    kind = items.schema["id"].dataType.simpleString()
+    looked = map_arrow(items.select("id", "text"), f"id {kind}, text string, first string, frame string", look)
+    for name in ("first", "frame"):
+        shared = looked.filter(F.col(name) != "").groupBy(name).count().filter(F.col("count") >= SHARED).select(name, F.lit(True).alias(f"has_{name}"))
+        looked = looked.join(shared, name, "left")
+    told = looked.select("id", "text", F.coalesce("has_first", F.lit(False)), F.coalesce("has_frame", F.lit(False)))
+    return map_arrow(told, f"id {kind}, passage string", cut)
 
 
 def hashes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -226,7 +252,7 @@ class Items:
         return min(row) if min(row) <= budget else -1
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents that contain passages of evaluation items: `item_id`, `doc_id`, `run_words` (the longest run of the
     passage's words found) and `edits` (words that differ where the whole passage was found, else null).
 
@@ -234,11 +260,12 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     REPLACED differing. Case, punctuation, blanks and line breaks are ignored. An item's common instruction and question are
     not part of its passage. Null or empty texts give nothing; a passage shorter than Q letters is not looked for; repeated
     rows count once; an empty table gives an empty result. The items, a given query set, are worked through in blocks of
-    BLOCK_CHARS characters, each broadcast in turn; the documents are never moved.
+    about `block_chars` characters, each broadcast in turn; the documents are never moved.
     """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    rows = items.select(F.col(item_key).alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null and id is not null").distinct().orderBy("id", "text")
+    given = items.select(F.col(item_key).alias("id"), F.col(item_text).cast("string").alias("text")).filter("text is not null and id is not null").distinct()
+    rows = written(passages(given), "passages").orderBy("id", "passage")
     schema = f"item_id {item_kind}, doc_id {kind}, run_words int, edits int"
     plain_docs = docs.select(F.col(key).alias("doc_id"), plain(F.col(text).cast("string")).alias("text")).filter("text <> ''")
     out = spark.createDataFrame([], schema)
@@ -246,9 +273,9 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     blocks: list[list[tuple[int, str]]] = []
     chars = 0
     for r in rows.toLocalIterator():
-        held.append((r.id, r.text))
-        chars += len(r.text)
-        if chars > BLOCK_CHARS:
+        held.append((r.id, r.passage))
+        chars += len(r.passage)
+        if chars > block_chars:
             blocks.append(held)
             held, chars = [], 0
     for block in [*blocks, held]:
@@ -258,12 +285,12 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
 
 
 def _searched(docs: DataFrame, block: list[tuple[int, str]], schema: str) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_CHARS characters and one text
+    sent = docs.sparkSession.sparkContext.broadcast(block)  # of bounded size, but for one text
     index: list[Items] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not index:
-            index.append(Items([k for k, _ in sent.value], passages([t for _, t in sent.value])))
+            index.append(Items([k for k, _ in sent.value], [t.split() for _, t in sent.value]))
         found = index[0].search(batch.column(1).to_pylist())
         ids = batch.column(0).take(pa.array([d for d, *_ in found], pa.int64()))
         fields = [pa.array([index[0].ids[i] for _, i, *_ in found]), ids, pa.array([r for *_, r, _ in found], pa.int32()), pa.array([None if e < 0 else e for *_, e in found], pa.int32())]

@@ -24,8 +24,10 @@ from quire.session import written
 
 from .arrow import map_arrow
 
-#: Items packed together (about); share of a shard's items above which a source is too large to be kept apart.
+#: Items packed together (about); share of all texts above which a source is too large to be kept apart.
 SHARD, HOT_SOURCE = 20_000, 0.05
+#: Stands for a source that is not kept apart.
+FREE = 0
 
 
 def tokenizer_path() -> str:
@@ -53,12 +55,10 @@ def sizes(texts: list[str | None], path: str) -> list[int]:
 def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[int]:
     """The bin of each item (size, source, group of copies), sizes from 1 to `capacity`.
 
-    Two items of the same group of copies never share a bin. Neither do two of the same source, unless the source has more
-    than HOT_SOURCE of the items; keeping those apart would leave bins unused. A group of 0 is none.
+    Two items of the same group of copies never share a bin, nor do two of the same source; a group or source of 0 is none.
     """
-    many = {s for s, n in Counter(s for _, s, _ in items).items() if n > max(1, HOT_SOURCE * len(items))}
     copies = [g for g, n in Counter(g for _, _, g in items if g).items() if n > 1]
-    names = sorted({s for _, s, _ in items} - many)
+    names = sorted({s for _, s, _ in items if s != FREE})
     bit = {("s", s): 1 << i for i, s in enumerate(names)} | {("g", g): 1 << (len(names) + i) for i, g in enumerate(copies)}
     # By free space: bins by bitmap. `free` has a bit for each free space that some bin has.
     bins: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(capacity + 1)]
@@ -96,7 +96,8 @@ def pack(df: DataFrame, key: str, text: str, source: str, capacity: int = 2048,
 
     A text of at most `capacity` tokens is one piece. A longer one is cut into full sequences and a rest, which is packed as
     other texts are. Copies (texts equal but for case, punctuation and blanks) never share a sequence, nor do two texts of a
-    source (see best_fit); a null source counts as a source. A null or empty text, or one without tokens, has a null
+    source, unless the source has more than HOT_SOURCE of all texts: those cannot all be kept apart, whatever the number of
+    texts. A null source counts as a source. A null or empty text, or one without tokens, has a null
     sequence, position and start and 0 tokens. A repeated row is packed again. An empty table gives an empty result.
     """
     path = path or tokenizer_path()
@@ -109,6 +110,8 @@ def pack(df: DataFrame, key: str, text: str, source: str, capacity: int = 2048,
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), tokens], ["key", "source", "copies", "tokens"])
 
     measured = written(map_arrow(rows, f"key {kind}, source long, copies long, tokens long", measure), "sizes")
+    hot = measured.groupBy("source").agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(HOT_SOURCE) * measured.filter("tokens > 0").count()).select("source", F.lit(True).alias("hot"))  # at most 1 / HOT_SOURCE rows
+    measured = measured.join(F.broadcast(hot), "source", "left").withColumn("source", F.when(F.col("hot"), F.lit(FREE)).otherwise(F.col("source"))).drop("hot")
     whole = F.floor(F.col("tokens") / capacity)
     full = measured.filter(F.col("tokens") >= capacity).select("key", "source", "copies", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("piece"), F.lit(capacity).cast("long").alias("tokens"))
     rest = measured.filter(F.col("tokens") % capacity > 0).select("key", "source", "copies", whole.alias("piece"), (F.col("tokens") % capacity).alias("tokens"))

@@ -69,6 +69,8 @@ def test_term_frequency_against_brute_force(spark):
     mark = lambda c: "rare" if c <= 2 else "common" if c > 0.1 * n else None
     want = {("f", t, occurrences[t], c, n, mark(c)) for t, c in records.items()}
     assert {tuple(r) for r in term_frequency(df, {"f": F.col("t")}).collect()} == want
+    # However small the leaves are, the rows are the same.
+    assert {tuple(r) for r in term_frequency(df, {"f": F.col("t")}, leaf_bytes=60).collect()} == want
     assert term_frequency(df.limit(0), {"f": F.col("t")}).count() == 0
 
 
@@ -107,3 +109,18 @@ def test_pack_is_a_partition_of_every_text(spark):
         held = held.sort_values("position")
         assert list(held.position) == list(range(len(held))) and list(held.start) == [0, *held.tokens.cumsum()[:-1]]
     assert pack(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_a_source_is_free_by_its_share_of_all_texts(spark, monkeypatch):
+    """Whether a source is kept apart depends on its share, not on the shards."""
+    from quire.llm import packing
+
+    rows = [(i, f"text number {i} of many", "big" if i % 10 == 0 else f"s{i % 97}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {k: s for k, _, s in rows}
+    for shard in (20_000, 150):
+        monkeypatch.setattr(packing, "SHARD", shard)
+        placed = pack(df, "doc_id", "text", "source", capacity=64).toPandas()
+        held = placed.assign(source=placed.doc_id.map(source)).groupby("sequence").source
+        small = held.agg(lambda s: (s != "big").sum() - s[s != "big"].nunique())
+        assert (small == 0).all() and held.agg(lambda s: (s == "big").sum()).max() > 1

@@ -257,3 +257,11 @@ def test_keys_meet_where_two_confusions_lead():
                 bad = bad[:i] + x + bad[i + len(y) :]
             if bad != good and abs(len(bad) - len(good)) <= 2 and len(good) < scans.SHORT and scans.misreading(bad, good) <= scans.MOST:
                 assert scans.good_keys(good) & scans.bad_keys(bad), (bad, good)
+
+
+def test_items_keep_their_instruction_however_they_are_blocked(spark):
+    items = [(k, "Read the text below and answer. " + " ".join(_passage(k)).capitalize() + f". What does the word {k} mean?") for k in range(6)]
+    items_df = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(_passage(0))), (2, "Read the text below and answer."), (3, " ".join(_passage(4)[5:30]))], "doc_id long, text string")
+    found = [sorted(tuple(r) for r in lk.leaks(docs, "doc_id", "text", items_df, "item_id", "text", n).collect()) for n in (lk.BLOCK_CHARS, 100)]
+    assert found[0] == found[1] and [r[:2] for r in found[0]] == [(0, 1), (4, 3)] and found[0][0][2] == 60
