@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,18 +12,26 @@ from quire.functions.text import token_set, word_count
 
 
 def osa(a: str, b: str) -> int:
-    """Edits between two strings, a swap of neighbours being one; no substring is edited twice."""
-    older: list[int] = []
-    row = list(range(len(b) + 1))
-    before: list[int] = []
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            best = min(before[j - 1] + (x != y), before[j] + 1, row[j - 1] + 1)
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            row.append(best)
-    return row[-1]
+    """Edits between two strings, a swap of neighbours being one; no substring is edited twice.
+
+    A row of the table at a time: what comes from the left is a running minimum.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    short = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    steps = np.arange(len(codes) + 1)
+    older = before = steps
+    for i, x in enumerate(short, 1):
+        row = np.empty_like(steps)
+        row[0] = i
+        row[1:] = np.minimum(before[:-1] + (codes != x), before[1:] + 1)
+        if i > 1:
+            swap = (codes[:-1] == x) & (codes[1:] == short[i - 2])
+            row[2:][swap] = np.minimum(row[2:][swap], older[:-2][swap] + 1)
+        row = np.minimum.accumulate(row - steps) + steps
+        older, before = before, row
+    return int(before[-1])
 
 
 @F.pandas_udf(IntegerType())

@@ -82,3 +82,27 @@ def statistics(quads: DataFrame) -> DataFrame:
     """Counts of what the graph holds."""
     c = lambda p: F.count_if(F.col("p") == p)
     return quads.agg(F.count("*").alias("quads"), F.countDistinct("g").alias("graphs"), F.countDistinct(F.when(F.col("p") == "author", F.col("o"))).alias("authors"), c("cites").alias("citations"), c("about").alias("concepts"))
+
+
+def about_any(quads: DataFrame, predicates: list[str], part: str) -> DataFrame:
+    """(document, predicate, concept, title): documents that stand in one of the predicates to a concept whose name contains `part`."""
+    hits = quads.filter(F.col("p").isin(*predicates) & F.col("o").contains(part)).select("g", F.col("s").alias("document"), F.col("p").alias("predicate"), F.col("o").alias("concept"))
+    titles = having(quads, "title", "document", "title").groupBy("g", "document").agg(F.min("title").alias("title"))
+    return hits.join(titles, ["g", "document"], "left").select("document", "predicate", "concept", "title")
+
+
+def identified(quads: DataFrame, p: str) -> DataFrame:
+    """(id, documents): the identifiers of one predicate and the graphs that hold them."""
+    return having(quads, p, "node", "id").groupBy("id").agg(F.countDistinct("g").alias("documents"))
+
+
+def or_listed(hits: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """(key, source): what the graph hits, and what the list has besides."""
+    found = hits.select(key).distinct()
+    return found.withColumn("source", F.lit("graph")).union(listed.select(key).distinct().join(found, key, "left_anti").withColumn("source", F.lit("keyword")))
+
+
+def dot_lines(quads: DataFrame) -> DataFrame:
+    """(line): the statements in the form that draws graphs."""
+    name = lambda c: F.replace(F.col(c), F.lit('"'), F.lit("'"))
+    return quads.select(F.format_string('"%s" -> "%s" [label="%s"];', name("s"), name("o"), name("p")).alias("line")).distinct()

@@ -50,12 +50,20 @@ def similar_groups(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.round(F.greatest(F.lit(0.0), dot), 5).alias("score"))
 
 
+def similar_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The five documents most like each queried one: the cosine of its centroid with their best chunk. Five vectors in a row are taken for a document's chunks."""
+    chunks = table(spark, d, "embeddings", "vec_id", "embedding").withColumn("doc", F.floor(F.col("vec_id") / 5))
+    asked = centroids(chunks.filter("doc % 20 = 0"), "doc", "embedding").select("doc", F.col("centroid").alias("embedding"))
+    found = nearest(chunks, asked, "vec_id", "embedding", 5, "doc")
+    return found.select("query", F.col("group").alias("doc"), F.col("id").alias("chunk"), F.round(F.greatest(F.lit(0.0), "cosine"), 5).alias("score"))
+
+
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     ranked = lambda df, key: df.select(F.col(key).alias("doc_id"), F.row_number().over(Window.orderBy(*[F.desc(c) for c in ("score", "held", "total") if c in df.columns], key)).alias("rank"))  # noqa: E731  top-k rows only
     return fused([ranked(bm25_search(spark, d), "doc_id"), ranked(segment_search(spark, d), "document_id")], "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (bm25_search, tfidf_documents, segment_search, semantic_chunks, vector_search, similar_groups, hybrid_search)}
+QUERIES = {f.__name__: f for f in (bm25_search, tfidf_documents, segment_search, semantic_chunks, vector_search, similar_groups, similar_documents, hybrid_search)}
 
 _BM25 = """w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents),
     f as (select doc_id, len(w) as length, len(list_filter(w, lambda x: x = 'frame')) as a, len(list_filter(w, lambda x: x = 'record')) as b, len(list_filter(w, lambda x: x = 'timber')) as c from w),
@@ -84,6 +92,10 @@ ORACLE = {
     "similar_groups": """with e as (select label, unnest(range(len(embedding))) as at_, unnest(embedding)::double as x from embeddings), m as (select label, at_, avg(x) as x from e group by all), n as (select label, sqrt(sum(x * x)) as norm from m group by label)
         select a.label as label_a, b.label as label_b, round(greatest(0, sum(a.x * b.x) / (any_value(na.norm) * any_value(nb.norm))), 5) as score from m a join m b on a.at_ = b.at_ and a.label < b.label
         join n na on na.label = a.label join n nb on nb.label = b.label group by all""",
+    "similar_documents": """with c as (select vec_id, vec_id // 5 as doc, embedding::double[] as v from embeddings), u as (select doc, unnest(range(len(v))) as at_, unnest(v) as x from c where doc % 20 = 0),
+        m as (select doc, at_, avg(x) as x from u group by all), q as (select doc, list(x order by at_) as v from m group by doc),
+        p as (select q.doc as query, c.doc, vec_id, round(list_cosine_similarity(q.v, c.v), 6) as s from q join c on q.doc <> c.doc), b as (select query, doc, arg_min(vec_id, (-s, vec_id)) as chunk, max(s) as s from p group by all)
+        select query, doc, chunk, round(greatest(0.0, s), 5) as score from b qualify row_number() over (partition by query order by s desc, chunk) <= 5""",
     "hybrid_search": "with " + _BM25 + ", " + _SEGMENTS + """, r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from bm union all select document_id, row_number() over (order by held desc, total desc, document_id) from sb)
         select doc_id, round(sum(1.0 / (60 + rank)), 9) as score from r group by doc_id""",
 }

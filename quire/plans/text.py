@@ -16,7 +16,7 @@ def text_quality_by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.first_line(F.col("text")).alias("first_line"), text.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.first_line(F.col("text")).alias("first_line"), text.slug(F.col("text")).alias("slug"))
 
 
 def _identifiers(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ ORACLE = {
     "text_quality_by_lang": """with q as (select lang, text, length(coalesce(text, '')) as size, length(regexp_replace(text, '[\\p{L}\\p{N}_\\s.,;:!?()\\[\\]''"/-]', '', 'g')) as odd from documents)
         select lang, case when size = 0 then 'empty' when size < 200 then 'very_poor' when size < 1000 then 'poor' when odd / size > 0.20 then 'poor' when odd / size > 0.10 then 'mixed' else 'good' end as quality,
             count(*) as n, round(avg(size), 6) as mean_chars from q group by all""",
-    "first_lines": f"select doc_id, {_FIRST} as first_line, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) as slug from documents",
+    "first_lines": f"select doc_id, {_FIRST} as first_line, substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) as slug from documents",
     "identifier_scan": _IDS + " select document_id, source, kind, position, value from ids",
     "identifier_summary": _IDS + " select source, kind, count(*) as n, count(distinct document_id) as documents from ids group by all",
     "promoted_identifiers": _IDS + " select document_id, " + ", ".join(f"arg_min(value, (source, position, value)) filter (kind = '{k}') as {k}" for k in PATTERNS) + " from ids group by document_id",

@@ -21,14 +21,14 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_similarity(spark: SparkSession, d: str) -> DataFrame:
-    both = _titles(spark, d).filter("title is not null").withColumn("line", F.substring("line", 1, 200))
+    both = _titles(spark, d).filter("title is not null")
     score = similarity.title_similarity(F.col("title"), F.col("line"))
     return both.select("meta_id", similarity.osa_distance(F.lower("title"), F.col("line")).alias("edits"), F.round(score, 6).alias("similarity"), (score >= 0.7).alias("same"))
 
 
 def title_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     n = text.word_count(F.col("line"))
-    line = F.when(F.length("line") <= 200, F.col("line"))
+    line = F.col("line")
     sure = F.when(n <= 3, 0.45).when(n <= 6, 0.55).otherwise(0.65)
     title, confidence = similarity.reconciled(F.nullif(F.trim("title"), F.lit("")), F.coalesce("title_confidence", F.lit(0.5)), line, sure)
     return _titles(spark, d).select("meta_id", title.alias("title"), F.round(confidence, 6).alias("confidence"))
@@ -87,7 +87,7 @@ def _clusters(rounds: int) -> str:
 
 ORACLE = {
     "title_reconciliation": f"""with m as (select distinct meta_id, document_id, title, title_confidence from extracted_metadata), l as (select doc_id, {_FIRST} as line from documents),
-        a as (select meta_id, nullif(trim(title), '') as t, coalesce(title_confidence, 0.5) as ts, case when length(line) <= 200 then line end as u, len(string_split({_SQ}, ' ')) as n from m left join l on doc_id = document_id),
+        a as (select meta_id, nullif(trim(title), '') as t, coalesce(title_confidence, 0.5) as ts, line as u, len(string_split({_SQ}, ' ')) as n from m left join l on doc_id = document_id),
         b as (select *, case when n <= 3 then 0.45 when n <= 6 then 0.55 else 0.65 end as us, {_TOKENS.format('t')} as x, {_TOKENS.format('u')} as y from a),
         c as (select *, case when len(list_distinct(list_concat(x, y))) > 0 then len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) else 0.0 end as j, greatest(ts, us) as best from b)
         select meta_id, case when t is null then u when u is null or ts >= us then t else u end as title, round(case when t is null then us when u is null then ts when j >= 0.8 then least(0.97, best + 0.20) when j >= 0.4 then least(0.80, best + 0.10) else greatest(0.30, best - 0.05) end, 6)::double as confidence from c""",
