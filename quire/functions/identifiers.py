@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 # The forms of identifiers; group 1 is the identifier.
 PATTERNS = {
     "doi": r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)",
-    "isbn": r"\b(97[89][- ]?\d{1,5}[- ]?\d{1,7}[- ]?\d{1,7}[- ]?[0-9X])\b",
-    "issn": r"\b(\d{4}-\d{3}[0-9X])\b",
-    "arxiv": r"(?i)arxiv:\s*(\d{4}\.\d{4,5})",
-    "pmid": r"(?i)pmid:\s*(\d{6,8})\b",
+    "isbn": r"\b(97[89][- ]?\d[- ]?\d{2,5}[- ]?\d{2,7}[- ]?\d{1,7}[- ]?\d)\b",
+    "issn": r"\b(\d{4}-\d{3}[0-9Xx])\b",
+    "arxiv": r"(?i)\barxiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)\b",
+    "pmid": r"\bPMID[:\s]+(\d{6,8})\b",
 }
 
 

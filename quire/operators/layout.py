@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import common_area, overlap_ratio
+from quire.session import written
 from quire.functions.text import chapter_level, chapter_number, squeezed, word_count
 
 #: Size of a page where the blocks don't tell it.
@@ -185,8 +186,8 @@ def sections(blocks: DataFrame, most_level: int = 4) -> DataFrame:
     return placed.select("document_id", "block_id", "number", "level", "position", parent["block_id"].alias("parent"), "next")
 
 
-def document_class(pages: Column, columns_: Column, depth: Column, contents: Column, backmatter: Column) -> tuple[Column, Column]:
-    """article, book, report or collection, with a confidence, from points for what the document has. Ties go to the earlier kind."""
+def document_class(pages: Column, columns_: Column, depth: Column, contents: Column, backmatter: Column, front: Column) -> tuple[Column, Column]:
+    """article, book, report or collection, with a confidence, from points for what the document has; `front` are the pages before the body. Ties go to the earlier kind."""
 
     def points(*cases: tuple[Column, dict[str, float]], default: dict[str, float] | None = None) -> dict[str, Column]:
         out = {}
@@ -197,7 +198,9 @@ def document_class(pages: Column, columns_: Column, depth: Column, contents: Col
             out[kind] = c
         return out
 
+    # The points.
     rules = [
+        points((front == 0, {"article": 1.5}), (front <= 3, {"article": 0.5, "report": 0.5}), (front <= 8, {"report": 1.5, "collection": 1.0}), default={"book": 2.0, "collection": 1.5}),
         points((pages <= 25, {"article": 3.0}), (pages <= 50, {"article": 1.5, "report": 1.0}), (pages <= 120, {"report": 2.0, "collection": 1.5}), default={"book": 3.0, "collection": 1.0}),
         points((columns_ == 2, {"article": 1.0})),
         points((depth == 0, {"article": 1.0}), (depth == 1, {"article": 0.5, "report": 0.5}), (depth == 2, {"report": 1.0, "collection": 0.5}), default={"book": 2.0, "collection": 1.0}),
@@ -212,14 +215,20 @@ def document_class(pages: Column, columns_: Column, depth: Column, contents: Col
     return kind, F.greatest(F.lit(0.4), F.least(F.lit(0.95), F.round(best["score"] / everything, 2)))
 
 
-def band_clusters(candidates: DataFrame, rounds: int = 3) -> DataFrame:
+def band_clusters(candidates: DataFrame, rounds: int | None = None) -> DataFrame:
     """The clusters of furniture candidates of each document, side and parity: those near the medians form the first, those near
-    the medians of what is left the next, and so on for `rounds` rounds."""
+    the medians of what is left the next, and so on until none is left, or for `rounds` rounds."""
     labels = F.array(F.lit("all"), F.when((F.col("page_index") + 1) % 2 == 1, "odd").otherwise("even"))
     rest = candidates.withColumn("parity", F.explode(labels))
     keys = ["document_id", "side", "parity"]
     out = None
-    for n in range(1, rounds + 1):
+    n = 0
+    while n != rounds:
+        n += 1
+        if rounds is None:
+            rest = written(rest, "bands")
+            if rest.isEmpty():
+                break
         middle = rest.groupBy(*keys).agg(F.median("y0").alias("m0"), F.median("y1").alias("m1"))
         off = rest.join(middle, keys).withColumn("d0", F.abs(F.col("y0") - F.col("m0"))).withColumn("d1", F.abs(F.col("y1") - F.col("m1"))).drop("m0", "m1")
         spread = off.groupBy(*keys).agg(F.median("d0").alias("a0"), F.median("d1").alias("a1"))
@@ -228,4 +237,6 @@ def band_clusters(candidates: DataFrame, rounds: int = 3) -> DataFrame:
         found = marked.filter("near").groupBy(*keys).agg(F.round(F.median("y0"), 4).alias("y0"), F.round(F.median("y1"), 4).alias("y1"), F.count("*").alias("pages")).withColumn("cluster", F.lit(n))
         out = found if out is None else out.unionByName(found)
         rest = marked.filter("not near").drop("d0", "d1", "a0", "a1", "near")
+    if out is None:
+        out = rest.select(*keys, F.lit(0).alias("cluster"), "y0", "y1", F.lit(0).cast("long").alias("pages"))
     return out.select(*keys, "cluster", "y0", "y1", "pages")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, enrich, graph, layout, search, text, titles, typography, zones
+from . import authority, catalog, enrich, graph, layout, search, text, titles, typography, zones
 
 #: Modules that hold queries; each has QUERIES and ORACLE.
-MODULES = (text, catalog, layout, search, graph, enrich, titles, typography, zones)
+MODULES = (text, catalog, layout, search, graph, enrich, titles, typography, zones, authority)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

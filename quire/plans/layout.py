@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.text import CHAPTER, heading_kind
 from quire.operators import layout as L
+from quire.operators import zones as Z
 from quire.sources.tables import table
 
 from .text import _BARE, _CHAPTER_OK
+from .zones import _ZONES
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +102,9 @@ def document_classes(spark: SparkSession, d: str) -> DataFrame:
     depth = L.sections(blocks).groupBy("document_id").agg(F.max("level").alias("depth"))
     lanes = L.columns(blocks).groupBy("document_id").agg(F.count("*").alias("lanes"))
     pages = blocks.groupBy("document_id").agg((F.max("page_index") + 1).alias("pages"))
-    all_ = pages.join(marks, "document_id", "left").join(depth, "document_id", "left").join(lanes, "document_id", "left").fillna({"backmatter": 0, "depth": 0, "lanes": 0, "contents": False})
-    kind, confidence = L.document_class(F.col("pages"), F.col("lanes"), F.col("depth"), F.col("contents"), F.col("backmatter"))
+    front = Z.document_zones(blocks).select("document_id", F.col("body_start").alias("front"))
+    all_ = pages.join(front, "document_id").join(marks, "document_id", "left").join(depth, "document_id", "left").join(lanes, "document_id", "left").fillna({"backmatter": 0, "depth": 0, "lanes": 0, "contents": False})
+    kind, confidence = L.document_class(F.col("pages"), F.col("lanes"), F.col("depth"), F.col("contents"), F.col("backmatter"), F.col("front"))
     return all_.select("document_id", kind.alias("kind"), confidence.alias("confidence"))
 
 
@@ -192,12 +195,12 @@ ORACLE = {
         select document_id, count(*) as pages, count_if(blocks >= 4) as dense, count_if(n <= 6 or (page_index >= floor(n / 3) and page_index < floor(2 * n / 3))) as middle, count_if((page_index + 1) % 2 = 1) as odd from g join s using (document_id) group by document_id""",
     "document_classes": f"""with {_B}, {_HEADS}, {_COLUMNS}, hk as (select document_id, {_KIND} as kind from hl), mk as (select document_id, bool_or(kind = 'toc') as contents, count(distinct case when kind in ('references', 'appendix') then kind end) as backmatter from hk where kind is not null group by all),
         dp as (select document_id, max(level) as depth from heads group by all), ln as (select document_id, count(*) as lanes from lanes group by all), pg as (select document_id, max(page_index) + 1 as pages from b group by all),
-        a as (select document_id, pages, coalesce(contents, false) as t, coalesce(backmatter, 0) as k, coalesce(depth, 0) as e, coalesce(lanes, 0) as c from pg left join mk using (document_id) left join dp using (document_id) left join ln using (document_id)),
+        zn as (select document_id as zd, body_start as f from ({_ZONES} select * from zones)), a as (select document_id, pages, f, coalesce(contents, false) as t, coalesce(backmatter, 0) as k, coalesce(depth, 0) as e, coalesce(lanes, 0) as c from pg left join mk using (document_id) left join dp using (document_id) left join ln using (document_id) join zn on zd = document_id),
         v as (select document_id,
-            (case when pages <= 25 then 3.0 when pages <= 50 then 1.5 else 0 end) + (case when c = 2 then 1 else 0 end) + (case e when 0 then 1.0 when 1 then 0.5 else 0 end) as article,
-            (case when pages > 120 then 3.0 else 0 end) + (case when e > 2 then 2.0 else 0 end) + (case when t then 1.5 else 0 end) + (case when k >= 2 then 1.5 else 0 end) as book,
-            (case when pages <= 25 then 0 when pages <= 50 then 1.0 when pages <= 120 then 2.0 else 0 end) + (case e when 0 then 0 when 1 then 0.5 when 2 then 1.0 else 0 end) + (case when t then 0.5 else 0 end) + (case when k = 1 then 0.5 else 0 end) as report,
-            (case when pages <= 50 then 0 when pages <= 120 then 1.5 else 1.0 end) + (case when e < 2 then 0 when e = 2 then 0.5 else 1.0 end) + (case when t then 1.0 else 0 end) as collection from a),
+            (case when pages <= 25 then 3.0 when pages <= 50 then 1.5 else 0 end) + (case when c = 2 then 1 else 0 end) + (case e when 0 then 1.0 when 1 then 0.5 else 0 end) + (case when f = 0 then 1.5 when f <= 3 then 0.5 else 0 end) as article,
+            (case when pages > 120 then 3.0 else 0 end) + (case when e > 2 then 2.0 else 0 end) + (case when t then 1.5 else 0 end) + (case when k >= 2 then 1.5 else 0 end) + (case when f > 8 then 2.0 else 0 end) as book,
+            (case when pages <= 25 then 0 when pages <= 50 then 1.0 when pages <= 120 then 2.0 else 0 end) + (case e when 0 then 0 when 1 then 0.5 when 2 then 1.0 else 0 end) + (case when t then 0.5 else 0 end) + (case when k = 1 then 0.5 else 0 end) + (case when f = 0 then 0 when f <= 3 then 0.5 when f <= 8 then 1.5 else 0 end) as report,
+            (case when pages <= 50 then 0 when pages <= 120 then 1.5 else 1.0 end) + (case when e < 2 then 0 when e = 2 then 0.5 else 1.0 end) + (case when t then 1.0 else 0 end) + (case when f <= 3 then 0 when f <= 8 then 1.0 else 1.5 end) as collection from a),
         w as (select *, greatest(article, book, report, collection) as top, article + book + report + collection as total from v)
         select document_id, case when article = top then 'article' when book = top then 'book' when report = top then 'report' else 'collection' end as kind, greatest(0.4, least(0.95, round(top / total, 2)))::double as confidence from w""",
 }

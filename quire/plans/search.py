@@ -33,7 +33,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     placed = segments.withColumn("after", F.lead("text").over(order)).withColumn("heads", F.lag("kind").over(order))
     heads = placed.filter("kind = 'heading'").select("document_id", "segment_id", F.lit("heading").alias("chunk"), F.concat_ws("\n", "text", "after").alias("text"))
     bodies = placed.filter((F.col("kind") != "heading") & (F.coalesce("heads", F.lit("")) != "heading") & (word_count(F.col("text")) >= 40)).select("document_id", "segment_id", F.lit("body").alias("chunk"), "text")
-    return heads.union(bodies).select(F.format_string("%d_%06d", "document_id", F.col("segment_id") % 1_000_000).alias("chunk_id"), "chunk", F.substring("text", 1, 1500).alias("text"))
+    return heads.union(bodies).select(F.format_string("%d_%06d", "document_id", "segment_id").alias("chunk_id"), "chunk", F.substring("text", 1, 1500).alias("text"))
 
 
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ ORACLE = {
         p as (select *, lead(text) over o as after, lag(kind) over o as heads from s window o as (partition by document_id order by segment_index, segment_id)),
         c as (select document_id, segment_id, 'heading' as chunk, concat_ws(chr(10), text, after) as text from p where kind = 'heading' union all
             select document_id, segment_id, 'body', text from p where kind <> 'heading' and coalesce(heads, '') <> 'heading' and len(string_split(trim(regexp_replace(text, '[\\s\\x{00a0}]+', ' ', 'g')), ' ')) >= 40)
-        select format('{:d}_{:06d}', document_id, segment_id % 1000000) as chunk_id, chunk, substring(text, 1, 1500) as text from c""",
+        select format('{:d}_{:06d}', document_id, segment_id) as chunk_id, chunk, substring(text, 1, 1500) as text from c""",
     "vector_search": """with p as (select q.vec_id as query, r.vec_id as id, round(list_cosine_similarity(q.embedding::double[], r.embedding::double[]), 6) as cosine from embeddings q, embeddings r where q.vec_id % 20 = 0 and q.vec_id <> r.vec_id)
         select query, id, cosine from p qualify row_number() over (partition by query order by cosine desc, id) <= 10""",
     "similar_groups": """with e as (select label, unnest(range(len(embedding))) as at_, unnest(embedding)::double as x from embeddings), m as (select label, at_, avg(x) as x from e group by all), n as (select label, sqrt(sum(x * x)) as norm from m group by label)
