@@ -129,3 +129,17 @@ def reconciled_authors(first: Column, second: Column, matches: Column) -> tuple[
     none_first, none_second = F.size(first) == 0, F.size(second) == 0
     sure = F.when(none_first & none_second, 0.0).when(none_second, 0.7).when(none_first, 0.55).when(matches > 0, F.least(F.lit(0.92), 0.70 + 0.08 * matches)).otherwise(0.65)
     return F.when(none_first, second).otherwise(first), F.round(sure, 6)
+
+
+def regions(texts: DataFrame, order: list[str]) -> DataFrame:
+    """(document_id, position, kind, texts): the parts of each document in their order, by the headings that begin them: title
+    page before any heading, then front matter, contents, abstract, body, references or appendix; neighbours of one kind are one part."""
+    first = F.get(_lines(F.col("text")), F.lit(0))
+    kind = heading_kind(first)
+    begins = F.when(kind == "toc", "contents").when(kind.isin("abstract", "references", "appendix"), kind).when(kind.isNotNull() | (first.rlike(NUMBERED) & (word_count(first) <= 12)), "body")
+    w = Window.partitionBy("document_id").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    named = texts.select("document_id", *order, F.coalesce(F.last(begins, ignorenulls=True).over(upto), F.lit("title_page")).alias("kind"))
+    fresh = F.when(F.lag("kind").over(w).eqNullSafe(F.col("kind")), 0).otherwise(1)
+    parts = named.withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(upto).cast("int") - 1)
+    return parts.groupBy("document_id", F.col("_part").alias("position"), "kind").agg(F.count("*").alias("texts"))

@@ -45,6 +45,10 @@ def explicit_keywords(spark: SparkSession, d: str) -> DataFrame:
     return found.select("document_id", F.posexplode("keywords").alias("position", "keyword"))
 
 
+def region_assembly(spark: SparkSession, d: str) -> DataFrame:
+    return Z.regions(_paragraphs(spark, d), ["position"])
+
+
 def person_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The names on the first pages of each document."""
     short = _blocks(spark, d).filter("page_index < 2").filter(X.word_count(F.col("text")) <= 20).filter(Z.is_person_block(F.col("text")))
@@ -63,7 +67,7 @@ def author_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return both.select("meta_id", F.array_join(authors, "; ").alias("authors"), sure.alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (body_starts, document_zones, zone_sizes, abstracts, explicit_keywords, person_blocks, author_reconciliation)}
+QUERIES = {f.__name__: f for f in (body_starts, document_zones, zone_sizes, abstracts, explicit_keywords, region_assembly, person_blocks, author_reconciliation)}
 
 _Q = Z.NUMBERED.replace("'", "''"), Z.NOTE.replace("'", "''")
 
@@ -129,6 +133,12 @@ ORACLE = {
         o as (select document_id, coalesce(case when length(own) > 0 then own end, case when not c1 and length({_SQUEEZED.format('n1')}) > 0 then {_SQUEEZED.format('n1')} end, case when not (c1 or c2) and length({_SQUEEZED.format('n2')}) > 0 then {_SQUEEZED.format('n2')} end,
             case when not (c1 or c2 or c3) and length({_SQUEEZED.format('n3')}) > 0 then {_SQUEEZED.format('n3')} end) as line from c),
         w as (select document_id, {_KW.format('line')} as v from o where line is not null) select document_id, unnest(range(len(v)))::int as position, unnest(v) as keyword from w""",
+    "region_assembly": f"""{_SEG}, f as (select document_id, position, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_SQUEEZED.format('x')}), lambda x: length(x) > 0)[1] as first from s),
+        k as (select *, {_kind('first')} as kind from f), g as (select *, case when kind = 'toc' then 'contents' when kind in ('abstract', 'references', 'appendix') then kind when kind is not null or (regexp_matches(first, '{_Q[0]}') and ({_words('first')}) <= 12) then 'body' end as begins from k),
+        n as (select document_id, position, coalesce(last_value(begins ignore nulls) over (partition by document_id order by position rows between unbounded preceding and current row), 'title_page') as kind from g),
+        p as (select *, case when lag(kind) over (partition by document_id order by position) is not distinct from kind then 0 else 1 end as fresh from n),
+        q as (select document_id, kind, (sum(fresh) over (partition by document_id order by position rows between unbounded preceding and current row))::int - 1 as part from p)
+        select document_id, part as position, kind, count(*) as texts from q group by document_id, part, kind""",
     "person_blocks": f"""with b as (select distinct block_id, text from blocks where block_type = 0 and page_index < 2 and length({_SQUEEZED.format('text')}) > 0), w as (select block_id, {_persons('text')} as v from b where ({_words('text')}) <= 20 and {_person('text')})
         select block_id, unnest(range(len(v)))::int as position, unnest(v) as name from w""",
     "author_reconciliation": f"""with m as (select distinct meta_id, document_id, list_filter(coalesce(authors, []), lambda x: length(trim(x)) > 0) as first from extracted_metadata),
