@@ -181,12 +181,26 @@ def lookalikes(df: DataFrame, field: str, key: str, text: str) -> DataFrame:
     Only hashes (128 bits) are shuffled. A group of texts of one look is joined with itself only if it holds at least two
     different strings, and only rows of different strings meet.
     """
+    rows = _mixed(df, field, key, text)
+    other = rows.select("field", "look", F.col("id").alias("id_b"), F.col("string").alias("string_b"))
+    pairs = rows.join(other, ["field", "look"]).filter((F.col("string") != F.col("string_b")) & (F.col("id") < F.col("id_b")))
+    return pairs.select("field", F.col("id").alias("id_a"), "id_b").distinct()
+
+
+def look_classes(df: DataFrame, field: str, key: str, text: str) -> DataFrame:
+    """The rows that look like a different string of their field, each once: `field`, `id`, `class_id` (the smallest id of its
+    look), `strings` and `rows` (of the class). Odd rows as in `lookalikes`."""
+    rows = _mixed(df, field, key, text)
+    sizes = rows.groupBy("field", "look").agg(F.min("id").alias("class_id"), F.countDistinct("string").alias("strings"), F.count("*").alias("rows"))
+    return rows.join(sizes, ["field", "look"]).select("field", "id", "class_id", "strings", "rows")
+
+
+def _mixed(df: DataFrame, field: str, key: str, text: str) -> DataFrame:
+    """(field, id, look, string) of the rows whose look has several strings; the last two are hashes."""
     digest = lambda c: F.concat(F.hex(F.xxhash64(c)), F.hex(F.xxhash64(F.lit(1), c)))
     rows = canonical(df.select(F.col(field).alias("field"), F.col(key).alias("id"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0), "text")
     rows = rows.filter(F.length(F.trim("canonical")) > 0).select("field", "id", digest("canonical").alias("look"), digest("text").alias("string"))
     rows = written(rows, "looks")
     mixed = rows.groupBy("field", "look").agg(F.min("string").alias("least"), F.max("string").alias("most")).filter("least < most").select("field", "look")
     rows = written(rows.join(mixed, ["field", "look"], "left_semi").distinct(), "mixed")
-    other = rows.select("field", "look", F.col("id").alias("id_b"), F.col("string").alias("string_b"))
-    pairs = rows.join(other, ["field", "look"]).filter((F.col("string") != F.col("string_b")) & (F.col("id") < F.col("id_b")))
-    return pairs.select("field", F.col("id").alias("id_a"), "id_b").distinct()
+    return rows

@@ -14,7 +14,7 @@ from .cooccurrence import cooccurrence
 from .frequency import term_frequency
 from .language import label_errors, languages, train
 from .leaks import leaks
-from .lookalike import canonical, lookalikes
+from .lookalike import canonical, look_classes, lookalikes
 from .matching import CONFIDENT, links
 from .names import variant_pairs, variants
 from .packing import pack
@@ -49,10 +49,19 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _looks(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "blocks").select(F.lit("blocks.text").alias("field"), F.col("block_id").alias("id"), "text")
     titles = table(spark, d, "extracted_metadata").select(F.lit("extracted_metadata.title").alias("field"), F.col("meta_id").alias("id"), F.col("title").alias("text"))
-    return lookalikes(blocks.union(titles), "field", "id", "text")
+    return blocks.union(titles)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes(_looks(spark, d), "field", "id", "text")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that looks like a different string, with its class."""
+    return look_classes(_looks(spark, d), "field", "id", "text")
 
 
 def p3_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +149,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_pairs, p3_found, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_entities, p8_packed, p9_found, p9_leaks, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_links, p2_found, p2_pairs, p3_found, p3_classes, p3_titles, p4_found, p4_languages, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_entities, p8_packed, p9_found, p9_leaks, p10_found)}
 
 
 _TERM = "trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm import leaks as lk
 from quire.llm import scans
 from quire.llm.language import fit, label_errors, languages, named_language, paragraphs
-from quire.llm.lookalike import canonical, lookalikes, same_look
+from quire.llm.lookalike import canonical, look_classes, lookalikes, same_look
 from quire.llm.pages import covered, page_kinds, read_page
 
 SENTENCES = {
@@ -49,6 +49,7 @@ def test_lookalikes(spark):
     df = spark.createDataFrame(rows, "field string, id long, text string").withColumn("look", F.lit("clash"))
     assert sorted(tuple(r) for r in lookalikes(df, "field", "id", "text").collect()) == [("f", 1, 2), ("f", 2, 8)]
     assert lookalikes(df.limit(0), "field", "id", "text").count() == 0
+    assert sorted(tuple(r) for r in look_classes(df, "field", "id", "text").collect()) == [("f", 1, 1, 2, 3), ("f", 2, 1, 2, 3), ("f", 8, 1, 2, 3)]
     assert {r.id: r.canonical for r in canonical(df, "text").filter("id in (2, 4, 5)").collect()} == {2: "caf\u00e9", 4: None, 5: ""}
 
 
