@@ -123,6 +123,28 @@ def test_initials_that_fit_two_persons_join_neither(spark):
     assert frozenset({"A. Zimulstra"}) in found and frozenset({"Anna Zimulstra"}) in found
 
 
+def test_initials_fit_by_a_slip_only_where_no_other_name_fits(spark):
+    many = [f"{g} Person{c}o" for g in ("Anna", "Alexander") for c in "bcdfg"]
+    found = _entities(spark, ["Anna Zimulstra", "A. Zimulstra", "Zimulstra Anna", "Alexander Zimolstra", "Zimolstra, Alexander*", *many])
+    assert frozenset({"Anna Zimulstra", "A. Zimulstra", "Zimulstra Anna"}) in found
+
+
+def test_initials_fit_a_given_name_and_its_slips(spark):
+    many = [f"Alexander Person{c}{d}o" for c in "bcdfg" for d in "aeiou"] + [f"Aexander {x}" for x in ("Hulbort", "Grevandis", "Toskemin")]
+    zimulstra = {"Alexander Zimulstra", "A. Zimulstra", "Aexander Zimulstra"}
+    assert frozenset(zimulstra) in _entities(spark, [*zimulstra, *many])
+
+
+def test_misspelt(spark):
+    counts = spark.createDataFrame([("alexander", 40), ("aexander", 4), ("alexandre", 9), ("alexanber", 2), ("anna", 30), ("anne", 5), ("ann", 4), ("hanna", 7)], "w string, n long")
+    assert {tuple(r) for r in names.misspelt(counts).collect()} == {("aexander", "alexander"), ("anne", "anna")}
+
+
+def test_e_and_y_are_initials_unless_they_join_words():
+    given = ["Banikeiner E", "É.Banikeiner", "BANIKEINER, E.", "Silva e Costa", "SILVA E COSTA", "Ortega y Gasset", "Y. Ortega"]
+    assert [sorted(w) for w in names.words_of(given)] == [["banikeiner", "e"]] * 3 + [["costa", "silva"]] * 2 + [["gasset", "ortega"], ["ortega", "y"]]
+
+
 def test_no_names(spark):
     assert names.variant_pairs(names.variants(spark.createDataFrame([], "name string"), "name")).count() == 0
 
