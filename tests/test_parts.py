@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import compare
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions.similarity import osa
 from quire.operators import authority, layout, typography, zones
 from quire.operators.vectors import nearest
+from quire.plans import titles
 
 
 def one(spark, column, *values):
@@ -70,6 +73,19 @@ def test_clusters_run_to_the_end(spark):
     assert layout.band_clusters(df.limit(0)).count() == 0
 
 
+def test_clusters_read_each_round_once(spark):
+    rng = random.Random(4)
+    rows = [(d, p, side, (y := rng.choice([20.0, 24.0, 28.5, 60.0, 300.0]) + rng.random()), y + rng.choice([10.0, 18.0, 90.0])) for d in range(6) for p in range(5 * d) for side in ("top", "bottom")]
+    rows += [(1, 90, "top", None, 40.0), (2, 91, "top", 20.0, float("nan")), (2, None, "top", 21.0, 30.0), (None, 0, "top", 20.0, 30.0)]
+    df = spark.createDataFrame(rows, "document_id long, page_index int, side string, y0 double, y1 double")
+    got = layout.band_clusters(df, rounds=3)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
+    con = duckdb.connect()
+    con.register("found", df.toArrow())
+    sql = titles._clusters(3).replace(titles._CANDIDATES, "with c as (select * from found)")
+    assert compare.rows(got.toPandas()) == compare.rows(con.sql(sql).df())
+
+
 def test_nearest_keeps_ties_over_batches(spark):
     rng = np.random.default_rng(2)
     same = rng.normal(size=4)
